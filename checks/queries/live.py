@@ -1 +1,88 @@
+"""Streaming queries, drained with the available input."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks import inputs, sql
+from checks.queries.data import SERIES_DOUBLES
+from checks.registry import check
+from panelforge.session import scratch_path
+from panelforge.streaming import live
+
+W = sql.with_ctes
+
+
+def _stream(spark, folder, name):
+    """File stream over one table of the folder."""
+    inputs.tune(spark)
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def _events(spark, folder):
+    # watermarks need a timestamp with time zone
+    return _stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@check(
+    "stream_period_aggregate",
+    """SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS ds, sum(value) AS revenue, count(*) AS orders, avg(value) AS avg_ticket
+      FROM events GROUP BY ALL""",
+    doubles="revenue avg_ticket",
+    dates="ds",
+    revenue=2,
+)
+def stream_period_aggregate(spark, folder):
+    path = scratch_path(spark, "live")
+    totals = live.stream_period_aggregate(_events(spark, folder), "ts", ["event_type"], "value", "user_id")
+    live.run_to_table(totals, path, "complete")
+    return spark.read.parquet(path).drop("approx_customers")
+
+
+@check(
+    "stream_month_aggregate",
+    """SELECT o_orderstatus, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds, sum(o_totalprice) AS revenue, count(*) AS orders,
+      avg(o_totalprice) AS avg_ticket FROM orders GROUP BY ALL""",
+    doubles="revenue avg_ticket",
+    dates="ds",
+    revenue=2,
+)
+def stream_month_aggregate(spark, folder):
+    stream = _stream(spark, folder, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    path = scratch_path(spark, "live")
+    totals = live.stream_period_aggregate(stream, "o_orderdate", ["o_orderstatus"], "o_totalprice", period="month")
+    live.run_to_table(totals, path, "complete")
+    return spark.read.parquet(path)
+
+
+@check(
+    "stream_dedup_events",
+    "SELECT event_id, event_type, value FROM events",
+    doubles="value",
+)
+def stream_dedup_events(spark, folder):
+    # every event arrives twice
+    twice = _events(spark, folder).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    path = scratch_path(spark, "dedup")
+    live.run_to_table(live.stream_dedup_events(twice, "ts", ["event_id"]), path)
+    return spark.read.parquet(path).select("event_id", "event_type", "value")
+
+
+@check(
+    "stream_panel_refresh",
+    W(*sql.SERIES) + "SELECT * FROM s WHERE ds >= DATE '2001-04-01'",
+    doubles=SERIES_DOUBLES,
+    dates="ds",
+)
+def stream_panel_refresh(spark, folder):
+    """The last months arrive as a stream of panel rows; their features equal the batch ones."""
+    panel = inputs.panel(spark, folder)
+    path = scratch_path(spark, "refresh")
+    cut = F.to_date(F.lit("2001-04-01"))
+    refresher = live.PanelRefresher(spark, path, inputs.STATE, inputs.SETTINGS, history=24)
+    refresher.start_from(panel.filter(F.col("ds") < cut))
+    panel.filter(F.col("ds") >= cut).coalesce(1).write.parquet(f"{path}-in")
+    stream = spark.readStream.schema(panel.schema).parquet(f"{path}-in")
+    live.stream_panel_refresh(stream, refresher)
+    return spark.read.parquet(f"{path}/features=0")

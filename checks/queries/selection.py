@@ -177,11 +177,12 @@ def _mi_ctes(bins: int = 8) -> str:
       ty AS (SELECT quantile_cont(monthly_revenue, [{probs}]) AS te FROM s WHERE {TRAIN}),
       j AS (SELECT feature, {below.format('e', 'value')} AS bx, {below.format('te', 'y')} AS bn, count(*) AS n
         FROM l JOIN ed USING (feature), ty GROUP BY ALL),
-      p AS (SELECT feature, n * 1.0 / sum(n) OVER (PARTITION BY feature) AS p, sum(n) OVER (PARTITION BY feature, bx) * 1.0 / sum(n) OVER (PARTITION BY feature) AS px,
+      pz AS (SELECT feature, n * 1.0 / sum(n) OVER (PARTITION BY feature) AS p,
+        sum(n) OVER (PARTITION BY feature, bx) * 1.0 / sum(n) OVER (PARTITION BY feature) AS px,
         sum(n) OVER (PARTITION BY feature, bn) * 1.0 / sum(n) OVER (PARTITION BY feature) AS py FROM j),
-      mi AS (SELECT feature, greatest(sum(p * ln(p / (px * py))), 0) AS mi_score FROM p GROUP BY 1),
+      mi AS (SELECT feature, greatest(sum(p * ln(p / (px * py))), 0) AS mi_score FROM pz GROUP BY 1),
       un AS (SELECT *, mi_score / max(mi_score) OVER () AS mi_normalized FROM mi)
-    """.replace(", p AS (", ", pz AS (").replace("FROM p GROUP", "FROM pz GROUP").replace("      p AS (", "      pz AS (")
+    """
     )
 
 

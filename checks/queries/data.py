@@ -73,7 +73,8 @@ def _quality_sql(name: str) -> str:
     null_pct=2,
 )
 def data_quality_report(spark, folder):
-    return tables.data_quality_report({n: read(spark, folder, n).select(*c) for n, c in _QUALITY_COLUMNS.items()})
+    inputs_ = {n: read(spark, folder, n).select(*c) for n, c in _QUALITY_COLUMNS.items()}
+    return tables.data_quality_report(inputs_, by_digest=("documents",))
 
 
 PANEL_DOUBLES = (

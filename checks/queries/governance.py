@@ -269,6 +269,21 @@ def local_contributions(spark, folder):
     return explain.local_contributions(_linear_values(spark, folder), ["customer_state", "ds"])
 
 
+@check(
+    "shap_tree_adds_up",
+    W(*sql.PANEL)
+    + """SELECT customer_state, ds, CAST(5 AS BIGINT) AS n_features, true AS adds_up FROM panel
+      WHERE ds > DATE '2000-06-01' AND ds <= DATE '2000-12-01'""",
+    dates="ds",
+)
+def shap_tree_adds_up(spark, folder):
+    """Base value and attributions of a row give its prediction."""
+    rows = shap_tree(spark, folder)
+    return rows.groupBy("customer_state", "ds").agg(
+        F.count(F.lit(1)).alias("n_features"), F.bool_and(F.abs("gap") < 1e-3).alias("adds_up")
+    )
+
+
 @check("shap_tree")
 def shap_tree(spark, folder):
     """Attributions of every row and, as a check, how far they are from adding up."""

@@ -192,6 +192,24 @@ _forecaster(
 )
 
 
+@check(
+    "ridge_single_feature",
+    W(*sql.SERIES)
+    + """, md AS (SELECT customer_state, ds, monthly_revenue AS y, coalesce(revenue_lag_1, 0) AS x FROM s WHERE ds <= DATE '2000-06-01'),
+      mo AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, y) * count(*) AS sxy, var_pop(x) * count(*) AS sxx FROM md),
+      be AS (SELECT mx, my, sxy / (sxx + 1e15) AS b FROM mo)
+    SELECT customer_state, ds, my + b * (x - mx) AS yhat FROM md, be""",
+    doubles="yhat",
+    dates="ds",
+    yhat=0,
+)
+def ridge_single_feature(spark, folder):
+    """Closed form of the penalised line, with a penalty large enough to matter."""
+    train = _parts(spark, folder)[0]
+    model = forecast.DirectForecaster("Ridge", forecast.ridge(1e15), 1).fit(train, ["revenue_lag_1"], keys=STATE)
+    return model.score(train, 1).select("customer_state", "ds", "yhat")
+
+
 @check("gbt_early_stopping")
 def gbt_early_stopping(spark, folder):
     """Validation rows decide when boosting stops."""
@@ -233,6 +251,22 @@ def train_final(spark, folder):
     return model.predict(history, STATE)
 
 
+@check(
+    "forecast_calendar",
+    W(*sql.PANEL)
+    + """, la AS (SELECT customer_state, max(ds) AS ds FROM panel WHERE ds <= DATE '2000-06-01' GROUP BY 1),
+      hz AS (SELECT CAST(unnest([1, 2]) AS INTEGER) AS horizon)
+    SELECT customer_state, horizon, CAST(ds + to_months(horizon) AS DATE) AS ds, true AS ordered, 10.0::DOUBLE AS mape_target FROM la, hz""",
+    doubles="mape_target",
+    dates="ds",
+)
+def forecast_calendar(spark, folder):
+    """Months, horizons and the order of the interval bounds of the forecast."""
+    points = forecast_query(spark, folder)
+    ordered = (F.col("yhat_lower") < F.col("yhat")) & (F.col("yhat") < F.col("yhat_upper"))
+    return points.select("customer_state", "horizon", "ds", ordered.alias("ordered"), "mape_target")
+
+
 @check("forecast")
 def forecast_query(spark, folder):
     """More months than fitted horizons are asked for: the horizon is cut."""
@@ -240,8 +274,7 @@ def forecast_query(spark, folder):
     return forecast.forecast(small_gbt(spark, folder), train, STATE, 12, inputs.SETTINGS)
 
 
-@check("save_load_model")
-def save_load_model(spark, folder):
+def _save_and_load(spark, folder):
     """Predictions of the reloaded model minus those of the fitted one."""
     model = small_gbt(spark, folder)
     path = scratch_path(spark, "model")
@@ -254,6 +287,16 @@ def save_load_model(spark, folder):
     return first.join(second, ids).select(*ids, (F.col("yhat") - F.col("yhat_loaded")).alias("difference"))
 
 
+# a reloaded model predicts the same for every validation row
+_SAME = (
+    W(*sql.PANEL)
+    + """SELECT customer_state, ds, CAST(unnest([1, 2]) AS INTEGER) AS horizon, 0.0::DOUBLE AS difference FROM panel
+      WHERE ds > DATE '2000-06-01' AND ds <= DATE '2000-12-01'"""
+)
+for _name in ("save_model", "load_model"):
+    check(_name, _SAME, doubles="difference", dates="ds")(_save_and_load)
+
+
 _REQUEST = ["monthly_orders", "avg_ticket", "revenue_lag_1"]
 
 

@@ -121,6 +121,25 @@ def acf_global(spark, folder):
     return timeseries.acf(inputs.panel0(spark, folder))
 
 
+_LOW = """, a AS (SELECT customer_state, max(n) AS n, max(acf) FILTER (lag = 1) AS r1, max(acf) FILTER (lag = 2) AS r2,
+    max(acf) FILTER (lag = 3) AS r3 FROM ac GROUP BY 1),
+  b AS (SELECT *, (r2 - r1 * r1) / (1 - r1 * r1) AS f2 FROM a),
+  d AS (SELECT *, (r3 - (r1 - f2 * r1) * r2 - f2 * r1) / (1 - (r1 - f2 * r1) * r1 - f2 * r2) AS f3 FROM b)
+SELECT customer_state, CAST(1 AS INTEGER) AS lag, r1 AS pacf FROM d WHERE n // 2 - 1 >= 1
+UNION ALL SELECT customer_state, 2, f2 FROM d WHERE n // 2 - 1 >= 2
+UNION ALL SELECT customer_state, 3, f3 FROM d WHERE n // 2 - 1 >= 3"""
+
+
+@check(
+    "pacf_low_order",
+    W(*sql.PANEL) + _acf_sql("panel", "customer_state, ").replace("\n    SELECT", ",\n ac AS (SELECT", 1) + ")" + _LOW,
+    doubles="pacf",
+)
+def pacf_low_order(spark, folder):
+    """Closed forms exist for the first three lags."""
+    return timeseries.pacf(inputs.panel(spark, folder), STATE, max_lag=3)
+
+
 @check("pacf")
 def pacf(spark, folder):
     return timeseries.pacf(inputs.panel(spark, folder), STATE)

@@ -18,52 +18,66 @@ SELLER_COLUMNS = ["seller_id", "seller_city", "seller_state"]
 REVIEW_COLUMNS = ["order_id", "review_score", "review_comment_title"]
 
 #: At most this many keys are treated as hot, which bounds the broadcast list.
-#: A key outside the list holds less than 1/512 of the rows.
+#: A key outside the list holds less than 1/512 of a child table.
 MAX_HOT_KEYS = 512
+ROWS_PER_SLICE = 1_000_000
 
 
-def hot_keys(df: DataFrame, key: str, rows_per_slice: int = 1_000_000) -> DataFrame:
-    """Keys with more than ``rows_per_slice`` rows and the slices to cut each into.
+def hot_keys(children: list[DataFrame], key: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """``(key, spread, n_slices)`` of keys with more than ``rows_per_slice`` rows in a child.
 
-    The count folds map-side; the result has at most ``MAX_HOT_KEYS`` rows by
-    construction, so it is safe to broadcast.
+    ``spread`` is the position of the child with most rows of that key. Counting
+    reads the key column only and folds map-side; the result has at most
+    ``MAX_HOT_KEYS`` rows by construction, so it is safe to broadcast.
     """
-    slices = F.ceil(F.col("n_rows") / F.lit(rows_per_slice)).cast("int")
+    counts = None
+    for i, child in enumerate(children):
+        part = (
+            child.filter(F.col(key).isNotNull())
+            .groupBy(key)
+            .agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") > rows_per_slice)
+            .withColumn("spread", F.lit(i))
+        )
+        counts = part if counts is None else counts.unionByName(part)
     return (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-        .filter(F.col("n_rows") > rows_per_slice)
-        .orderBy(F.desc("n_rows"), F.asc(key))
+        counts.groupBy(key)
+        .agg(F.max("n").alias("n"), F.max_by("spread", F.struct("n", "spread")).alias("spread"))
+        .orderBy(F.desc("n"), F.asc(key))
         .limit(MAX_HOT_KEYS)
-        .select(key, slices.alias("n_slices"))
+        .select(key, "spread", F.ceil(F.col("n") / F.lit(rows_per_slice)).cast("int").alias("n_slices"))
     )
 
 
-def left_join_salted(left: DataFrame, right: DataFrame, key: str, rows_per_slice: int = 1_000_000) -> DataFrame:
-    """Left join that stays balanced when few keys hold most right-hand rows.
-
-    Right rows of a hot key are spread over slices; left rows of that key are
-    repeated once per slice. A hot key has right rows by definition, so a
-    repeated left row that meets none in its slice is dropped, which keeps the
-    result equal to the plain left join.
+def left_join_children(
+    parent: DataFrame, children: list[DataFrame], key: str, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """Parent left-joined with every combination of its children, balanced under hot keys.
+
+    All joins use (key, slice), so each input is exchanged once. Ordinary keys
+    have one slice. A hot key is cut into slices: the rows of its largest child
+    are spread over them, parent and other children are repeated in each. A
+    repeated parent row that meets no row of the spread child is a by-product
+    of the cut and is dropped; the key has such rows by definition, so the
+    result equals the plain left joins.
     """
-    hot = F.broadcast(hot_keys(right, key, rows_per_slice))
-    spread = right.join(hot, key, "left").select(
-        *right.columns,
-        F.when(F.col("n_slices").isNull(), 0)
-        .otherwise(F.pmod(F.monotonically_increasing_id(), F.col("n_slices")).cast("int"))
-        .alias("_slice"),
-        F.lit(True).alias("_matched"),
-    )
-    slices = F.when(F.col("n_slices").isNull(), F.array(F.lit(0))).otherwise(
+    hot = F.broadcast(hot_keys(children, key, rows_per_slice))
+    every = F.when(F.col("n_slices").isNull(), F.array(F.lit(0))).otherwise(
         F.sequence(F.lit(0), F.col("n_slices") - 1)
     )
-    repeated = left.join(hot, key, "left").select(
-        *left.columns, F.col("n_slices").isNotNull().alias("_hot"), F.explode(slices).alias("_slice")
-    )
-    joined = repeated.join(spread, [key, "_slice"], "left")
-    return joined.filter(~F.col("_hot") | F.col("_matched")).drop("_slice", "_hot", "_matched")
+    one = F.array(F.pmod(F.monotonically_increasing_id(), F.col("n_slices")).cast("int"))
+    joined = parent.join(hot, key, "left").select(*parent.columns, "spread", F.explode(every).alias("_slice"))
+    kept = F.col("spread").isNull()
+    for i, child in enumerate(children):
+        slices = F.when(F.col("spread") == i, one).otherwise(every)
+        sliced = (
+            child.join(hot, key, "left")
+            .select(*child.columns, slices.alias("_s"))
+            .select(*child.columns, F.explode("_s").alias("_slice"), F.lit(True).alias(f"_met_{i}"))
+        )
+        joined = joined.join(sliced, [key, "_slice"], "left")
+        kept = kept | ((F.col("spread") == i) & F.col(f"_met_{i}"))
+    return joined.filter(kept).drop("_slice", "spread", *[f"_met_{i}" for i in range(len(children))])
 
 
 def category_lookup(products: DataFrame, category_trans: DataFrame) -> DataFrame:
@@ -76,21 +90,11 @@ def fact_children_join(
     items: DataFrame,
     payments: DataFrame,
     reviews: DataFrame,
-    rows_per_slice: int | None = None,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Orders with every combination of their items, payments and reviews.
-
-    All joins share the order key, so each input is exchanged once. Pass
-    ``rows_per_slice`` when single orders may hold a large share of the rows.
-    """
-    reviews = reviews.select(*REVIEW_COLUMNS)
-    joined = orders
-    for child in (items, payments, reviews):
-        if rows_per_slice:
-            joined = left_join_salted(joined, child, "order_id", rows_per_slice)
-        else:
-            joined = joined.join(child, "order_id", "left")
-    return joined
+    """Orders with every combination of their items, payments and reviews."""
+    children = [items, payments, reviews.select(*REVIEW_COLUMNS)]
+    return left_join_children(orders, children, "order_id", rows_per_slice)
 
 
 def dimension_join(facts: DataFrame, customers: DataFrame, products: DataFrame, sellers: DataFrame) -> DataFrame:
@@ -106,7 +110,7 @@ def dimension_join(facts: DataFrame, customers: DataFrame, products: DataFrame,
     )
 
 
-def build_master_table(tables: dict[str, DataFrame], rows_per_slice: int | None = None) -> DataFrame:
+def build_master_table(tables: dict[str, DataFrame], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """One wide row per order, item, payment and review."""
     facts = fact_children_join(
         tables["orders"],

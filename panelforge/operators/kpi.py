@@ -25,24 +25,39 @@ def business_kpis(valid: DataFrame, panel: DataFrame) -> DataFrame:
     ``valid`` holds featured valid rows; ``panel`` is the period table of the
     whole business (one row per period).
     """
-    score = F.col("review_score")
-    rows = valid.agg(
-        total(F.col("payment_value")).alias("revenue_total"),
-        F.avg(score).alias("avg_review_score"),
-        (F.avg(flag(score == 5)) * 100).alias("pct_5star"),
-        (F.avg(flag(score == 1)) * 100).alias("pct_1star"),
-        F.avg("delivery_days_actual").alias("avg_delivery_days"),
-        (F.avg(flag(F.col("is_late_delivery") == 0)) * 100).alias("pct_on_time"),
-        F.avg(F.when(F.col("delivery_delay_days") > 0, F.col("delivery_delay_days"))).alias("avg_late_delay_days"),
-    )
-    customers = (
-        valid.filter(F.col("customer_unique_id").isNotNull())
-        .groupBy("customer_unique_id")
-        .agg(F.count_distinct("order_id").alias("orders"))
-        .agg(
-            F.count(F.lit(1)).alias("total_unique_customers"),
-            (F.avg(flag(F.col("orders") > 1)) * 100).alias("repeat_customer_rate"),
-        )
+    score, delay = F.col("review_score"), F.col("delivery_delay_days")
+    sums = {
+        "revenue": F.sum("payment_value"),
+        "n": F.count(F.lit(1)),
+        "score": F.sum(score),
+        "score_n": F.count(score),
+        "five": F.count_if(score == 5),
+        "one": F.count_if(score == 1),
+        "days": F.sum("delivery_days_actual"),
+        "days_n": F.count("delivery_days_actual"),
+        "on_time": F.count_if(F.col("is_late_delivery") == 0),
+        "late": F.sum(F.when(delay > 0, delay)),
+        "late_n": F.count_if(delay > 0),
+    }
+    # one pass over the rows: fold per customer, then fold the customers
+    per_customer = valid.groupBy("customer_unique_id").agg(
+        F.count_distinct("order_id").alias("orders"), *[x.alias(n) for n, x in sums.items()]
+    )
+
+    def share(part: str, whole: str, factor: float = 1.0):
+        return ratio(F.sum(part), F.sum(whole)) * factor
+
+    known = F.col("customer_unique_id").isNotNull()
+    rows = per_customer.agg(
+        total(F.col("revenue")).alias("revenue_total"),
+        share("score", "score_n").alias("avg_review_score"),
+        share("five", "n", 100).alias("pct_5star"),
+        share("one", "n", 100).alias("pct_1star"),
+        share("days", "days_n").alias("avg_delivery_days"),
+        share("on_time", "n", 100).alias("pct_on_time"),
+        share("late", "late_n").alias("avg_late_delay_days"),
+        F.count_if(known).alias("total_unique_customers"),
+        (ratio(F.count_if(known & (F.col("orders") > 1)), F.count_if(known)) * 100).alias("repeat_customer_rate"),
     )
     # the calendar bounds the number of rows here
     periods = panel.agg(
@@ -51,7 +66,7 @@ def business_kpis(valid: DataFrame, panel: DataFrame) -> DataFrame:
         F.max("monthly_revenue").alias("max_monthly_revenue"),
         F.min("monthly_revenue").alias("min_monthly_revenue"),
     )
-    return _side_by_side(rows, customers, periods)
+    return _side_by_side(rows, periods)
 
 
 def cancellation_rate(featured: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ ORDER_DATES = [
     "order_estimated_delivery_date",
 ]
 ITEM_DATES = ["shipping_limit_date"]
+#: Tables with line breaks inside quoted text; such CSV files are not splittable.
+MULTI_LINE = {"order_reviews"}
 
 
 
@@ -66,9 +68,8 @@ def load_tables(
     for name, file in (files or RAW_FILES).items():
         reader = spark.read.format(fmt)
         if fmt == "csv":
-            reader = reader.option("header", True).option("multiLine", False).option("escape", '"')
-            # columns are matched to the header by name, not by position
-            reader = reader.option("enforceSchema", False)
+            # the header is checked against the schema; comments may span lines
+            reader = reader.options(header=True, escape='"', enforceSchema=False, multiLine=name in MULTI_LINE)
         if name in schemas and fmt != "parquet":
             reader = reader.schema(schemas[name])
         try:
@@ -108,18 +109,22 @@ def date_range(orders: DataFrame, column: str = "order_purchase_timestamp") -> D
     )
 
 
-def data_quality_report(tables: dict[str, DataFrame]) -> DataFrame:
+def data_quality_report(tables: dict[str, DataFrame], by_digest: tuple[str, ...] = ()) -> DataFrame:
     """Rows, columns, mean null percentage and duplicate rows of each table.
 
     Copies are folded by a grouped count before the shuffle, so many copies of
-    one row cost no more than one.
+    one row cost no more than one. Tables named in ``by_digest`` are grouped by
+    a SHA-256 digest of the row, which keeps long texts out of the shuffle.
     """
     reports = []
     for name, df in tables.items():
-        null_cells = reduce(lambda a, b: a + b, [F.col(f"`{c}`").isNull().cast("int") for c in df.columns])
-        distinct = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("copies"))
+        cells = [F.col(f"`{c}`") for c in df.columns]
+        nulls = reduce(lambda a, b: a + b, [c.isNull().cast("int") for c in cells])
+        group = [F.sha2(F.to_json(F.struct(*cells)), 256)] if name in by_digest else cells
+        rows = df.select(F.struct(*group).alias("row"), nulls.alias("null_cells"))
+        distinct = rows.groupBy("row").agg(F.count(F.lit(1)).alias("copies"), F.first("null_cells").alias("null_cells"))
         reports.append(
-            distinct.select("copies", null_cells.alias("null_cells")).agg(
+            distinct.agg(
                 F.lit(name).alias("dataset"),
                 F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
                 F.lit(len(df.columns)).alias("cols"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelforge.config import Settings
 from panelforge.operators.features import add_transaction_features, valid_orders
-from panelforge.operators.joins import build_master_table
+from panelforge.operators.joins import build_master_table, hot_orders
 from panelforge.operators.panel import monthly_panel
 from panelforge.operators.timeseries import add_time_series_features
 from panelforge.session import scratch_path, tune
@@ -19,6 +19,7 @@ STATE = ["customer_state"]
 SETTINGS = Settings(train_end="2000-06", val_end="2000-12", live_month="2001-07")
 
 _written: dict[tuple[str, str, str], str] = {}
+_hot: dict[tuple[str, str], list] = {}
 
 
 def tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -27,7 +28,12 @@ def tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def master(spark: SparkSession, folder: str) -> DataFrame:
-    return build_master_table(tables(spark, folder))
+    """Master table; the hot orders of a folder are counted once per session."""
+    found = tables(spark, folder)
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _hot:
+        _hot[key] = hot_orders(found)
+    return build_master_table(found, _hot[key])
 
 
 def featured(spark: SparkSession, folder: str) -> DataFrame:

@@ -174,9 +174,8 @@ def fact_children_join(spark, folder):
 def fact_children_join_salted(spark, folder):
     # a low slice size makes many orders of the test tables hot
     t = inputs.tables(spark, folder)
-    joined = joins.fact_children_join(
-        t["orders"], t["order_items"], t["order_payments"], t["order_reviews"], rows_per_slice=3
-    )
+    hot = joins.hot_orders(t, rows_per_slice=3)
+    joined = joins.fact_children_join(t["orders"], t["order_items"], t["order_payments"], t["order_reviews"], hot)
     return joined.select(*_FACT_COLUMNS)
 
 

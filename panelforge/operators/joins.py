@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 CUSTOMER_COLUMNS = ["customer_id", "customer_unique_id", "customer_city", "customer_state"]
@@ -50,28 +50,41 @@ def hot_keys(children: list[DataFrame], key: str, rows_per_slice: int = ROWS_PER
 
 
 def left_join_children(
-    parent: DataFrame, children: list[DataFrame], key: str, rows_per_slice: int = ROWS_PER_SLICE
+    parent: DataFrame,
+    children: list[DataFrame],
+    key: str,
+    hot: list[Row] | None = None,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Parent left-joined with every combination of its children, balanced under hot keys.
 
-    All joins use (key, slice), so each input is exchanged once. Ordinary keys
-    have one slice. A hot key is cut into slices: the rows of its largest child
-    are spread over them, parent and other children are repeated in each. A
+    ``hot`` is the collected :func:`hot_keys` table, found here when not given.
+    Without hot keys these are plain joins on one key, so each input is
+    exchanged once. Otherwise all joins use (key, slice): ordinary keys have one
+    slice, a hot key is cut into several. The rows of its largest child are
+    spread over the slices, parent and other children are repeated in each. A
     repeated parent row that meets no row of the spread child is a by-product
     of the cut and is dropped; the key has such rows by definition, so the
-    result equals the plain left joins.
+    result equals the plain joins.
     """
-    hot = F.broadcast(hot_keys(children, key, rows_per_slice))
+    found = hot_keys(children, key, rows_per_slice).collect() if hot is None else hot
+    if not found:
+        for child in children:
+            parent = parent.join(child, key, "left")
+        return parent
+    schema = hot_keys(children, key, rows_per_slice).schema
+    # at most MAX_HOT_KEYS rows
+    cuts = F.broadcast(parent.sparkSession.createDataFrame(found, schema))
     every = F.when(F.col("n_slices").isNull(), F.array(F.lit(0))).otherwise(
         F.sequence(F.lit(0), F.col("n_slices") - 1)
     )
     one = F.array(F.pmod(F.monotonically_increasing_id(), F.col("n_slices")).cast("int"))
-    joined = parent.join(hot, key, "left").select(*parent.columns, "spread", F.explode(every).alias("_slice"))
+    joined = parent.join(cuts, key, "left").select(*parent.columns, "spread", F.explode(every).alias("_slice"))
     kept = F.col("spread").isNull()
     for i, child in enumerate(children):
         slices = F.when(F.col("spread") == i, one).otherwise(every)
         sliced = (
-            child.join(hot, key, "left")
+            child.join(cuts, key, "left")
             .select(*child.columns, slices.alias("_s"))
             .select(*child.columns, F.explode("_s").alias("_slice"), F.lit(True).alias(f"_met_{i}"))
         )
@@ -85,16 +98,21 @@ def category_lookup(products: DataFrame, category_trans: DataFrame) -> DataFrame
     return products.join(category_trans, "product_category_name", "left")
 
 
+def hot_orders(tables: dict[str, DataFrame], rows_per_slice: int = ROWS_PER_SLICE) -> list[Row]:
+    """Orders with very many items, payments or reviews; count them once per set of tables."""
+    children = [tables[n] for n in ("order_items", "order_payments", "order_reviews")]
+    return hot_keys(children, "order_id", rows_per_slice).collect()
+
+
 def fact_children_join(
     orders: DataFrame,
     items: DataFrame,
     payments: DataFrame,
     reviews: DataFrame,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    hot: list[Row] | None = None,
 ) -> DataFrame:
     """Orders with every combination of their items, payments and reviews."""
-    children = [items, payments, reviews.select(*REVIEW_COLUMNS)]
-    return left_join_children(orders, children, "order_id", rows_per_slice)
+    return left_join_children(orders, [items, payments, reviews.select(*REVIEW_COLUMNS)], "order_id", hot)
 
 
 def dimension_join(facts: DataFrame, customers: DataFrame, products: DataFrame, sellers: DataFrame) -> DataFrame:
@@ -110,14 +128,10 @@ def dimension_join(facts: DataFrame, customers: DataFrame, products: DataFrame,
     )
 
 
-def build_master_table(tables: dict[str, DataFrame], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def build_master_table(tables: dict[str, DataFrame], hot: list[Row] | None = None) -> DataFrame:
     """One wide row per order, item, payment and review."""
     facts = fact_children_join(
-        tables["orders"],
-        tables["order_items"],
-        tables["order_payments"],
-        tables["order_reviews"],
-        rows_per_slice,
+        tables["orders"], tables["order_items"], tables["order_payments"], tables["order_reviews"], hot
     )
     products = category_lookup(tables["products"], tables["category_trans"])
     return dimension_join(facts, tables["customers"], products, tables["sellers"])

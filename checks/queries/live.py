@@ -80,7 +80,7 @@ def stream_panel_refresh(spark, folder):
     panel = inputs.panel(spark, folder)
     path = scratch_path(spark, "refresh")
     cut = F.to_date(F.lit("2001-04-01"))
-    refresher = live.PanelRefresher(spark, path, inputs.STATE, inputs.SETTINGS, history=24)
+    refresher = live.PanelRefresher(spark, path, inputs.STATE, inputs.SETTINGS)
     refresher.start_from(panel.filter(F.col("ds") < cut))
     panel.filter(F.col("ds") >= cut).coalesce(1).write.parquet(f"{path}-in")
     stream = spark.readStream.schema(panel.schema).parquet(f"{path}-in")

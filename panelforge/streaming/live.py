@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.config import Settings
@@ -105,13 +105,14 @@ class PanelRefresher:
         kept = base.join(arrived.select(*ids), ids, "left_anti")
         kept.unionByName(arrived).write.mode("overwrite").parquet(target)
         self.version = target
-        touched = arrived.groupBy(*self.keys).agg(F.min("ds").alias("_from"))
-        panel = self.current()
-        recent = (
-            panel.join(touched, self.keys) if self.keys else panel.withColumn("_from", F.lit(arrived.agg(F.min("ds")).first()[0]))
-        ).filter(F.col("ds") >= F.add_months("_from", -self.history))
+        # lags count rows, so the features need the last rows before the first touched period
+        touched = arrived.withColumn("_one", F.lit(1)).groupBy("_one", *self.keys).agg(F.min("ds").alias("_from"))
+        panel = self.current().withColumn("_one", F.lit(1)).join(touched, ["_one", *self.keys])
+        before = F.col("ds") < F.col("_from")
+        back = F.row_number().over(Window.partitionBy(*self.keys, before).orderBy(F.desc("ds")))
+        recent = panel.withColumn("_back", back).filter(~before | (F.col("_back") <= self.history))
         featured = (
-            add_time_series_features(recent.drop("_from"), self.settings, self.keys)
+            add_time_series_features(recent.drop("_one", "_from", "_back"), self.settings, self.keys)
             .join(arrived.select(*ids), ids, "left_semi")
         )
         out = self.score(featured) if self.score else featured

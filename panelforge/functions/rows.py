@@ -53,19 +53,19 @@ def calendar(ts: Column) -> dict[str, Column]:
     }
 
 
-def delivery(purchase: Column, delivered: Column, estimated: Column, carrier: Column) -> dict[str, Column]:
-    actual = whole_days(delivered, purchase)
-    planned = whole_days(estimated, purchase)
-    delay = actual - planned
+def delivery_days(purchase: Column, delivered: Column, estimated: Column, carrier: Column) -> dict[str, Column]:
     return {
-        "delivery_days_actual": actual,
-        "delivery_days_estimated": planned,
-        "delivery_delay_days": delay,
-        "is_late_delivery": flag(delay > 0),
+        "delivery_days_actual": whole_days(delivered, purchase),
+        "delivery_days_estimated": whole_days(estimated, purchase),
         "carrier_days": whole_days(carrier, purchase),
     }
 
 
+def delivery_delay(actual: Column, estimated: Column) -> dict[str, Column]:
+    """Delay and late flag from day counts that are already columns."""
+    return {"delivery_delay_days": actual - estimated, "is_late_delivery": flag(actual - estimated > 0)}
+
+
 def payment(kind: Column, installments: Column) -> dict[str, Column]:
     flags = {name: flag(kind == value) for name, value in PAYMENT_FLAGS.items()}
     flags["payment_installments_flag"] = flag(installments > 1)

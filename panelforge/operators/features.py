@@ -34,14 +34,15 @@ def calendar_features(df: DataFrame, ts: str = "order_purchase_timestamp") -> Da
 
 
 def delivery_features(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        rows.delivery(
-            F.col("order_purchase_timestamp"),
-            F.col("order_delivered_customer_date"),
-            F.col("order_estimated_delivery_date"),
-            F.col("order_delivered_carrier_date"),
-        )
+    """Day counts first, delay and flag from them: each day count is computed once."""
+    days = rows.delivery_days(
+        F.col("order_purchase_timestamp"),
+        F.col("order_delivered_customer_date"),
+        F.col("order_estimated_delivery_date"),
+        F.col("order_delivered_carrier_date"),
     )
+    delay = rows.delivery_delay(F.col("delivery_days_actual"), F.col("delivery_days_estimated"))
+    return df.withColumns(days).withColumns(delay)
 
 
 def payment_flags(df: DataFrame) -> DataFrame:
@@ -65,7 +66,8 @@ def status_flags(df: DataFrame) -> DataFrame:
 
 
 def add_transaction_features(master: DataFrame) -> DataFrame:
-    """All row features; Catalyst merges the five blocks into one Project."""
+    """All row features. Catalyst merges the blocks into few Projects and keeps
+    apart only what would repeat costly expressions."""
     return (
         master.transform(calendar_features)
         .transform(delivery_features)

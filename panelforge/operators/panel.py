@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import rows
 from panelforge.functions.guards import total
-from panelforge.operators.features import valid_orders
+from panelforge.operators.features import delivery_features, valid_orders
 from panelforge.operators.joins import (
     CUSTOMER_COLUMNS,
     category_lookup,
@@ -95,6 +95,48 @@ def build_monthly_table(featured: DataFrame, keys: list[str] | None = None) -> D
     return trim_edge_months(monthly_aggregate(valid_orders(featured), keys), keys)
 
 
+def _sold_items(tables: dict[str, DataFrame], item_keys: list[str]) -> DataFrame:
+    """Order, product and seller of each item, with the item attributes used as keys."""
+    items = tables["order_items"].select("order_id", "product_id", "seller_id")
+    if "product_category_name_english" in item_keys:
+        products = category_lookup(tables["products"], tables["category_trans"])
+        items = items.join(products.select("product_id", "product_category_name_english"), "product_id", "left")
+    if {"seller_state", "seller_city"} & set(item_keys):
+        items = items.join(tables["sellers"], "seller_id", "left")
+    return items
+
+
+def _distinct_offers(sold: DataFrame, tables: dict[str, DataFrame], group: list[str]) -> DataFrame:
+    """Distinct sellers and categories per group.
+
+    Distinct (group, seller) and (group, product) pairs are formed first, so the
+    category is looked up on those few rows and not on every item.
+    """
+    ids = F.array(
+        F.struct(F.lit("seller").alias("kind"), F.col("seller_id").cast("string").alias("id")),
+        F.struct(F.lit("product").alias("kind"), F.col("product_id").cast("string").alias("id")),
+    )
+    names = {g: f"_g{i}" for i, g in enumerate(group)}
+    pairs = (
+        sold.select(*[F.col(g).alias(n) for g, n in names.items()], F.explode(ids).alias("_x"))
+        .select(*names.values(), "_x.kind", "_x.id")
+        .filter(F.col("id").isNotNull())
+        .distinct()
+    )
+    products = category_lookup(tables["products"], tables["category_trans"]).select(
+        F.lit("product").alias("kind"), F.col("product_id").cast("string").alias("id"), "product_category_name_english"
+    )
+    return (
+        pairs.join(products, ["kind", "id"], "left")
+        .groupBy(*[F.col(n).alias(g) for g, n in names.items()])
+        .agg(
+            F.count_distinct("product_category_name_english").alias("unique_categories"),
+            # pairs are distinct already
+            F.count_if(F.col("kind") == "seller").alias("unique_sellers"),
+        )
+    )
+
+
 def monthly_from_orders(tables: dict[str, DataFrame], keys: list[str] | None = None) -> DataFrame:
     """The same 20 aggregates without building the fan-out rows.
 
@@ -109,32 +151,33 @@ def monthly_from_orders(tables: dict[str, DataFrame], keys: list[str] | None = N
     order_columns = set(tables["orders"].columns) | set(CUSTOMER_COLUMNS)
     item_keys = [k for k in keys if k not in order_columns]
     children = order_children(tables, item_keys)
+    items, reviews = children["items"], children["reviews"]
+    i, p, r = F.coalesce("item_rows", F.lit(1)), F.col("payment_rows"), F.coalesce("review_rows", F.lit(1))
 
-    orders = tables["orders"].filter(F.col("order_status") == "delivered")
+    orders = (
+        tables["orders"]
+        .filter(F.col("order_status") == "delivered")
+        .withColumn("ds", rows.month_start(F.col("order_purchase_timestamp")))
+    )
     customers = tables["customers"].select(
         *[c for c in CUSTOMER_COLUMNS if c in keys or c in ("customer_id", "customer_unique_id", "customer_state")]
     )
-    purchase = F.col("order_purchase_timestamp")
-    delivery = rows.delivery(
-        purchase,
-        F.col("order_delivered_customer_date"),
-        F.col("order_estimated_delivery_date"),
-        F.col("order_delivered_carrier_date"),
-    )
-    base = (
-        orders.join(children["payments"], "order_id")
-        .join(children["reviews"], "order_id", "left")
-        .join(customers, "customer_id", "left")
-        .withColumn("ds", rows.month_start(purchase))
-        .withColumns({n: delivery[n] for n in ("delivery_days_actual", "delivery_delay_days", "is_late_delivery")})
-    )
-    facts = _known(base.join(children["items"], "order_id", "left"), group).withColumns(
-        {
-            "i": F.coalesce("item_rows", F.lit(1)),
-            "p": F.col("payment_rows"),
-            "r": F.coalesce("review_rows", F.lit(1)),
-        }
+
+    def with_customers(df: DataFrame) -> DataFrame:
+        return _known(df.join(customers, "customer_id", "left"), group)
+
+    # every join on the order key comes before the one on the customer key, so
+    # each input is exchanged once per key
+    facts = (
+        orders.transform(delivery_features)
+        .join(children["payments"], "order_id")
+        .join(reviews, "order_id", "left")
+        .join(items, "order_id", "left")
+        .transform(with_customers)
+        .withColumns({"i": i, "p": p, "r": r})
     )
+    i, p, r = F.col("i"), F.col("p"), F.col("r")
+    ones = i * p * r
 
     def weighted(amount: str, n: str, weight):
         """Mean of a child column repeated ``weight`` times per row."""
@@ -142,9 +185,6 @@ def monthly_from_orders(tables: dict[str, DataFrame], keys: list[str] | None = N
             F.sum(F.col(amount) * weight).cast("double"), F.sum(F.col(n) * weight).cast("double")
         )
 
-    i, p, r = F.col("i"), F.col("p"), F.col("r")
-    ones = i * p * r
-
     def mean(column: str):
         known = F.when(F.col(column).isNotNull(), ones)
         return F.try_divide(F.sum(F.col(column) * ones).cast("double"), F.sum(known).cast("double"))
@@ -170,36 +210,26 @@ def monthly_from_orders(tables: dict[str, DataFrame], keys: list[str] | None = N
     )
 
     # the median ticket: each valid payment counts items × reviews times
+    payments = tables["order_payments"].filter(F.col("payment_value") > 0).select("order_id", "payment_value")
     tickets = (
-        facts.select("order_id", *group, (i * r).alias("w"))
-        .join(
-            tables["order_payments"].filter(F.col("payment_value") > 0).select("order_id", "payment_value"),
-            "order_id",
-        )
+        orders.select(*dict.fromkeys(["order_id", "customer_id", *[c for c in group if c in orders.columns]]))
+        .join(payments, "order_id")
+        .join(reviews.select("order_id", "review_rows"), "order_id", "left")
+        .join(items.select("order_id", *item_keys, "item_rows"), "order_id", "left")
+        .transform(with_customers)
+        .withColumn("w", F.coalesce("item_rows", F.lit(1)) * F.coalesce("review_rows", F.lit(1)))
         .transform(lambda d: exact_quantiles(d, group, "payment_value", [0.5], weight="w"))
         .select(*group, F.col("quantile").alias("median_ticket"))
     )
-
-    # distinct sellers and categories are item attributes of valid orders
-    products = category_lookup(tables["products"], tables["category_trans"]).select(
-        "product_id", "product_category_name_english"
-    )
-    items = tables["order_items"].select("order_id", "product_id", "seller_id")
-    if "seller_state" in item_keys or "seller_city" in item_keys:
-        items = items.join(tables["sellers"], "seller_id", "left")
-    order_group = [g for g in group if g not in item_keys]
-    offers = (
-        items.join(products, "product_id", "left")
-        .select("order_id", *item_keys, *[c for c in ("seller_id", "product_category_name_english") if c not in item_keys])
-        .distinct()
-        .join(_known(base, order_group).select("order_id", *order_group), "order_id")
-        .transform(lambda d: _known(d, group))
-        .groupBy(*group)
-        .agg(
-            F.count_distinct("product_category_name_english").alias("unique_categories"),
-            F.count_distinct("seller_id").alias("unique_sellers"),
-        )
+    # customers join the orders before the more numerous items do
+    paid = (
+        orders.select(*dict.fromkeys(["order_id", "customer_id", *[c for c in group if c in orders.columns]]))
+        .join(children["payments"].select("order_id"), "order_id")
+        .join(customers, "customer_id", "left")
+        .select(*dict.fromkeys(["order_id", *[g for g in group if g not in item_keys]]))
     )
+    sold = _known(_sold_items(tables, item_keys).join(paid, "order_id"), group)
+    offers = _distinct_offers(sold, tables, group)
     return (
         sums.join(tickets, group, "left")
         .join(offers, group, "left")

@@ -56,6 +56,10 @@ def exact_quantiles(
         .agg(n.cast("long").alias("_n"))
         .withColumn("_b", _log_bucket(F.col("_v")))
     )
+    # the joins below imply these filters on one side; stating them here keeps
+    # both uses of the counts identical, so Spark computes and ships them once
+    for c in (*keys, "_b"):
+        counts = counts.filter(F.col(c).isNotNull())
 
     # the bucket of each wanted rank; a probability asks for its two neighbours
     in_bucket = (F.col("_below") <= F.col("_rank")) & (F.col("_rank") < F.col("_below") + F.col("_n"))

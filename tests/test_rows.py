@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import rows
 from panelforge.functions.guards import clip, finite, flag, ratio
-from panelforge.operators.features import OTHER_DOMAIN, domain_of, valid_orders
+from panelforge.operators.features import OTHER_DOMAIN, delivery_features, domain_of, valid_orders
 
 
 def first(df):
@@ -34,8 +34,12 @@ def test_whole_days_round_down(spark):
 
 def test_undelivered_rows_are_on_time(spark):
     t = dt.datetime(2020, 1, 1)
-    df = spark.createDataFrame([(t, None, t, None)], "p timestamp, d timestamp, e timestamp, c timestamp")
-    out = first(df.select(*[x.alias(n) for n, x in rows.delivery(*[F.col(c) for c in "pdec"]).items()]))
+    df = spark.createDataFrame(
+        [(t, None, t, None)],
+        "order_purchase_timestamp timestamp, order_delivered_customer_date timestamp, "
+        "order_estimated_delivery_date timestamp, order_delivered_carrier_date timestamp",
+    )
+    out = first(delivery_features(df))
     assert out["is_late_delivery"] == 0 and out["delivery_delay_days"] is None and out["carrier_days"] is None
 
 

@@ -22,8 +22,14 @@ _written: dict[tuple[str, str, str], str] = {}
 _hot: dict[tuple[str, str], list] = {}
 
 
-def tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def prepare(spark: SparkSession) -> None:
+    """Session settings of the checks; DuckDB timestamps have no time zone."""
     tune(spark)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    prepare(spark)
     return star_tables(spark, folder)
 
 

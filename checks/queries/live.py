@@ -15,7 +15,7 @@ W = sql.with_ctes
 
 def _stream(spark, folder, name):
     """File stream over one table of the folder."""
-    inputs.tune(spark)
+    inputs.prepare(spark)
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 

@@ -42,6 +42,49 @@ def monthly_aggregate_by_category(spark, folder):
     return panel.monthly_from_orders(inputs.tables(spark, folder), ["product_category_name_english"])
 
 
+@check(
+    "weekly_aggregate_by_city",
+    W(*sql.VALID, "vw AS (SELECT * REPLACE (CAST(date_trunc('week', order_purchase_timestamp) AS DATE) AS ds) FROM v)")
+    + f"SELECT customer_city, ds, {sql.AGGREGATES} FROM vw WHERE customer_city IS NOT NULL GROUP BY ALL",
+    doubles=PANEL_DOUBLES,
+    dates="ds",
+)
+def weekly_aggregate_by_city(spark, folder):
+    return panel.monthly_from_orders(inputs.tables(spark, folder), ["customer_city"], grain="week")
+
+
+@check(
+    "monthly_aggregate_order_grain",
+    W(*sql.BASE)
+    + f""", fi AS (SELECT order_id, count(order_item_id) AS items, sum(price) AS ps, count(price) AS pn, sum(freight_value) AS fs, count(freight_value) AS fn FROM i GROUP BY 1),
+      fp AS (SELECT order_id, count(*) AS np, sum(payment_value) AS pv, count(*) FILTER (payment_type = 'credit_card') AS cc, count(*) FILTER (payment_type = 'boleto') AS bo,
+        count(*) FILTER (payment_installments > 1) AS fl, sum(payment_installments) AS si FROM p WHERE payment_value > 0 GROUP BY 1),
+      fr AS (SELECT order_id, sum(review_score) AS rs, count(review_score) AS rn FROM r GROUP BY 1),
+      b AS (SELECT *, CAST(date_trunc('month', order_purchase_timestamp) AS DATE) AS ds,
+          {sql._ACTUAL} AS da, {sql._ACTUAL} - {sql._PLANNED} AS dd FROM o JOIN fp USING (order_id) LEFT JOIN fi USING (order_id) LEFT JOIN fr USING (order_id)
+          LEFT JOIN c USING (customer_id) WHERE order_status = 'delivered'),
+      md AS (SELECT b.ds, quantile_cont(p.payment_value, 0.5) AS median_ticket FROM b JOIN p USING (order_id) WHERE p.payment_value > 0 GROUP BY 1),
+      of_ AS (SELECT b.ds, count(DISTINCT ct.product_category_name_english) AS unique_categories, count(DISTINCT i.seller_id) AS unique_sellers
+        FROM b JOIN i USING (order_id) LEFT JOIN pr ON pr.product_id = i.product_id LEFT JOIN ct ON ct.product_category_name = pr.product_category_name GROUP BY 1),
+      ag AS (SELECT ds, sum(pv) AS monthly_revenue, count(DISTINCT order_id) AS monthly_orders, count(DISTINCT customer_unique_id) AS monthly_customers,
+        CAST(coalesce(sum(items), 0) AS BIGINT) AS monthly_items, sum(pv) / sum(np) AS avg_ticket, sum(rs) / sum(rn) AS avg_review_score,
+        avg(da) AS avg_delivery_days, avg(dd) AS avg_delay_days, avg(CASE WHEN dd > 0 THEN 1 ELSE 0 END) AS pct_late_delivery,
+        sum(fs) / sum(fn) AS avg_freight, sum(ps) / sum(pn) AS avg_price, coalesce(sum(fs), 0) AS total_freight, sum(cc) / sum(np) AS pct_credit_card,
+        sum(bo) / sum(np) AS pct_boleto, sum(fl) / sum(np) AS pct_installments, sum(si) / sum(np) AS avg_installments,
+        count(DISTINCT customer_state) AS unique_states FROM b GROUP BY 1)
+    SELECT ag.*, median_ticket, unique_categories, unique_sellers FROM ag JOIN md USING (ds) JOIN of_ USING (ds)""",
+    doubles=PANEL_DOUBLES,
+    dates="ds",
+)
+def monthly_aggregate_order_grain(spark, folder):
+    return panel.monthly_from_orders(inputs.tables(spark, folder), fanout="order")
+
+
+@check("monthly_aggregate_approximate")
+def monthly_aggregate_approximate(spark, folder):
+    return panel.monthly_aggregate(inputs.valid(spark, folder), inputs.STATE, approximate=True)
+
+
 @check(
     "trim_edge_months",
     W(*sql.PANEL) + "SELECT customer_state, ds, monthly_orders FROM panel",

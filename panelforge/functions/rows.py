@@ -38,6 +38,11 @@ def month_start(ts: Column) -> Column:
     return F.trunc(ts, "month")
 
 
+def period_start(ts: Column, grain: str = "month") -> Column:
+    """First day of the period; ``grain`` is day, week, month, quarter or year."""
+    return F.to_date(F.date_trunc(grain, ts))
+
+
 def calendar(ts: Column) -> dict[str, Column]:
     return {
         "order_year": F.year(ts),

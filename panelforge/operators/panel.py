@@ -47,14 +47,20 @@ def _known(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def monthly_aggregate(valid: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The 20 aggregates per (keys, ds) from rows with transaction features."""
+def monthly_aggregate(valid: DataFrame, keys: list[str] | None = None, approximate: bool = False) -> DataFrame:
+    """The 20 aggregates per (keys, ds) from rows with transaction features.
+
+    ``approximate`` trades exact distinct counts and the exact median for
+    sketches, which need one exchange of small rows.
+    """
     group = [*(keys or []), "ds"]
     valid = _known(valid, group)
+    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    sketched = [F.percentile_approx("payment_value", 0.5).alias("median_ticket")] if approximate else []
     sums = valid.groupBy(*group).agg(
         total(F.col("payment_value")).alias("monthly_revenue"),
-        F.count_distinct("order_id").alias("monthly_orders"),
-        F.count_distinct("customer_unique_id").alias("monthly_customers"),
+        distinct("order_id").alias("monthly_orders"),
+        distinct("customer_unique_id").alias("monthly_customers"),
         F.count("order_item_id").alias("monthly_items"),
         F.avg("payment_value").alias("avg_ticket"),
         F.avg("review_score").alias("avg_review_score"),
@@ -68,10 +74,13 @@ def monthly_aggregate(valid: DataFrame, keys: list[str] | None = None) -> DataFr
         F.avg("is_boleto").alias("pct_boleto"),
         F.avg("payment_installments_flag").alias("pct_installments"),
         F.avg("payment_installments").alias("avg_installments"),
-        F.count_distinct("product_category_name_english").alias("unique_categories"),
-        F.count_distinct("seller_id").alias("unique_sellers"),
-        F.count_distinct("customer_state").alias("unique_states"),
+        distinct("product_category_name_english").alias("unique_categories"),
+        distinct("seller_id").alias("unique_sellers"),
+        distinct("customer_state").alias("unique_states"),
+        *sketched,
     )
+    if approximate:
+        return sums.select(*group, *AGGREGATES)
     medians = exact_quantiles(valid, group, "payment_value", [0.5]).select(
         *group, F.col("quantile").alias("median_ticket")
     )
@@ -137,7 +146,9 @@ def _distinct_offers(sold: DataFrame, tables: dict[str, DataFrame], group: list[
     )
 
 
-def monthly_from_orders(tables: dict[str, DataFrame], keys: list[str] | None = None) -> DataFrame:
+def monthly_from_orders(
+    tables: dict[str, DataFrame], keys: list[str] | None = None, fanout: str = "reference", grain: str = "month"
+) -> DataFrame:
     """The same 20 aggregates without building the fan-out rows.
 
     An order with i items, p payments and r reviews stands for i·p·r master
@@ -145,19 +156,27 @@ def monthly_from_orders(tables: dict[str, DataFrame], keys: list[str] | None = N
     carried as row weights, so the joins are one-to-one, no child table can
     skew them and the shuffled data does not grow with the fan-out.
     Keys may be order, customer, item, product or seller attributes.
+
+    ``fanout="order"`` sets all weights to one: each payment, item and review
+    counts once, so revenue is not multiplied by the number of items.
     """
+    if fanout not in ("reference", "order"):
+        raise ValueError(f"unknown fan-out: {fanout}")
     keys = keys or []
     group = [*keys, "ds"]
     order_columns = set(tables["orders"].columns) | set(CUSTOMER_COLUMNS)
     item_keys = [k for k in keys if k not in order_columns]
     children = order_children(tables, item_keys)
     items, reviews = children["items"], children["reviews"]
-    i, p, r = F.coalesce("item_rows", F.lit(1)), F.col("payment_rows"), F.coalesce("review_rows", F.lit(1))
+    if fanout == "reference":
+        i, p, r = F.coalesce("item_rows", F.lit(1)), F.col("payment_rows"), F.coalesce("review_rows", F.lit(1))
+    else:
+        i = p = r = F.lit(1)
 
     orders = (
         tables["orders"]
         .filter(F.col("order_status") == "delivered")
-        .withColumn("ds", rows.month_start(F.col("order_purchase_timestamp")))
+        .withColumn("ds", rows.period_start(F.col("order_purchase_timestamp"), grain))
     )
     customers = tables["customers"].select(
         *[c for c in CUSTOMER_COLUMNS if c in keys or c in ("customer_id", "customer_unique_id", "customer_state")]
@@ -176,6 +195,7 @@ def monthly_from_orders(tables: dict[str, DataFrame], keys: list[str] | None = N
         .transform(with_customers)
         .withColumns({"i": i, "p": p, "r": r})
     )
+    copies = i * r
     i, p, r = F.col("i"), F.col("p"), F.col("r")
     ones = i * p * r
 
@@ -217,7 +237,7 @@ def monthly_from_orders(tables: dict[str, DataFrame], keys: list[str] | None = N
         .join(reviews.select("order_id", "review_rows"), "order_id", "left")
         .join(items.select("order_id", *item_keys, "item_rows"), "order_id", "left")
         .transform(with_customers)
-        .withColumn("w", F.coalesce("item_rows", F.lit(1)) * F.coalesce("review_rows", F.lit(1)))
+        .withColumn("w", copies)
         .transform(lambda d: exact_quantiles(d, group, "payment_value", [0.5], weight="w"))
         .select(*group, F.col("quantile").alias("median_ticket"))
     )
@@ -238,6 +258,8 @@ def monthly_from_orders(tables: dict[str, DataFrame], keys: list[str] | None = N
     )
 
 
-def monthly_panel(tables: dict[str, DataFrame], keys: list[str] | None = None) -> DataFrame:
-    """Trimmed monthly panel straight from the order tables."""
-    return trim_edge_months(monthly_from_orders(tables, keys), keys)
+def monthly_panel(
+    tables: dict[str, DataFrame], keys: list[str] | None = None, fanout: str = "reference", grain: str = "month"
+) -> DataFrame:
+    """Trimmed panel straight from the order tables."""
+    return trim_edge_months(monthly_from_orders(tables, keys, fanout, grain), keys)

@@ -121,26 +121,27 @@ def acf_global(spark, folder):
     return timeseries.acf(inputs.panel0(spark, folder))
 
 
-_LOW = """, a AS (SELECT customer_state, max(n) AS n, max(acf) FILTER (lag = 1) AS r1, max(acf) FILTER (lag = 2) AS r2,
-    max(acf) FILTER (lag = 3) AS r3 FROM ac GROUP BY 1),
-  b AS (SELECT *, (r2 - r1 * r1) / (1 - r1 * r1) AS f2 FROM a),
-  d AS (SELECT *, (r3 - (r1 - f2 * r1) * r2 - f2 * r1) / (1 - (r1 - f2 * r1) * r1 - f2 * r2) AS f3 FROM b)
-SELECT customer_state, CAST(1 AS INTEGER) AS lag, r1 AS pacf FROM d WHERE n // 2 - 1 >= 1
-UNION ALL SELECT customer_state, 2, f2 FROM d WHERE n // 2 - 1 >= 2
-UNION ALL SELECT customer_state, 3, f3 FROM d WHERE n // 2 - 1 >= 3"""
-
-
-@check(
-    "pacf_low_order",
-    W(*sql.PANEL) + _acf_sql("panel", "customer_state, ").replace("\n    SELECT", ",\n ac AS (SELECT", 1) + ")" + _LOW,
-    doubles="pacf",
-)
-def pacf_low_order(spark, folder):
-    """Closed forms exist for the first three lags."""
-    return timeseries.pacf(inputs.panel(spark, folder), STATE, max_lag=3)
+def _pacf_sql(top: int) -> str:
+    """Durbin–Levinson written out: one CTE per order."""
+    base = _acf_sql("panel", "customer_state, ")
+    head, rows = base.rsplit("sums AS (", 1)
+    sums, rest = rows.split(")\n", 1)
+    r = ", ".join(f"max(acf) FILTER (lag = {k}) AS r{k}" for k in range(1, top + 1))
+    ctes = [f"ac AS ({rest.strip()})", f"d0 AS (SELECT customer_state, max(n) AS n, {r} FROM ac GROUP BY 1)"]
+    ctes.append("d1 AS (SELECT *, r1 AS f1_1 FROM d0)")
+    for k in range(2, top + 1):
+        above = " + ".join(f"f{k - 1}_{j} * r{k - j}" for j in range(1, k))
+        below = " + ".join(f"f{k - 1}_{j} * r{j}" for j in range(1, k))
+        inner = ", ".join(f"f{k - 1}_{j} - f{k}_{k} * f{k - 1}_{k - j} AS f{k}_{j}" for j in range(1, k))
+        ctes.append(f"d{k} AS (SELECT *, (r{k} - ({above})) / (1 - ({below})) AS f{k}_{k}, {inner} FROM d{k - 1})")
+    out = " UNION ALL ".join(
+        f"SELECT customer_state, CAST({k} AS INTEGER) AS lag, f{k}_{k} AS pacf FROM d{top} WHERE n // 2 - 1 >= {k}"
+        for k in range(1, top + 1)
+    )
+    return W(*sql.PANEL) + f"{head}sums AS ({sums}), " + ", ".join(ctes) + " " + out
 
 
-@check("pacf")
+@check("pacf", _pacf_sql(12), doubles="pacf")
 def pacf(spark, folder):
     return timeseries.pacf(inputs.panel(spark, folder), STATE)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,3 +43,8 @@ def zero_if_null(column: Column) -> Column:
 def total(column: Column) -> Column:
     """Sum that is 0, not NULL, over nothing."""
     return F.coalesce(F.sum(column), F.lit(0.0))
+
+
+def all_known(columns: list[str]) -> Column:
+    """True where none of the columns is NULL."""
+    return reduce(lambda a, c: a & F.col(c).isNotNull(), columns, F.lit(True))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import rows
-from panelforge.functions.guards import total
+from panelforge.functions.guards import all_known, total
 from panelforge.operators.features import delivery_features, valid_orders
 from panelforge.operators.joins import (
     CUSTOMER_COLUMNS,
@@ -42,9 +42,7 @@ AGGREGATES = [
 
 def _known(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows whose grouping columns are all present."""
-    for c in columns:
-        df = df.filter(F.col(c).isNotNull())
-    return df
+    return df.filter(all_known(columns))
 
 
 def monthly_aggregate(valid: DataFrame, keys: list[str] | None = None, approximate: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.guards import finite
+from panelforge.functions.guards import all_known, finite
 from panelforge.operators.features import to_long
 
 #: Buckets per doubling of the value: a bucket spans 0.004 % of its value.
@@ -49,17 +49,15 @@ def exact_quantiles(
     """
     n = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
     probs = F.array(*[F.lit(float(p)) for p in probabilities])
+    # the joins below imply the key and bucket filters on one side; stating them
+    # here keeps both uses of the counts identical, so Spark ships them once
     counts = (
         df.select(*keys, finite(F.col(value)).alias("_v"), *([weight] if weight else []))
-        .filter(F.col("_v").isNotNull())
         .groupBy(*keys, "_v")
         .agg(n.cast("long").alias("_n"))
         .withColumn("_b", _log_bucket(F.col("_v")))
+        .filter(all_known([*keys, "_v", "_b"]))
     )
-    # the joins below imply these filters on one side; stating them here keeps
-    # both uses of the counts identical, so Spark computes and ships them once
-    for c in (*keys, "_b"):
-        counts = counts.filter(F.col(c).isNotNull())
 
     # the bucket of each wanted rank; a probability asks for its two neighbours
     in_bucket = (F.col("_below") <= F.col("_rank")) & (F.col("_rank") < F.col("_below") + F.col("_n"))
@@ -68,7 +66,7 @@ def exact_quantiles(
         counts.groupBy(*keys, "_b")
         .agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         .withColumns({"_below": _below(keys, "_b"), "_total": F.sum("_n").over(Window.partitionBy(*keys))})
-        .withColumn("_prob", F.explode(probs))
+        .withColumn("_prob", F.explode(probs))  # after the window sums, or they would count each row per probability
         .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor(position), F.ceil(position)))))
         .filter(in_bucket)
         .groupBy(*keys, "_b", "_rank")
@@ -102,8 +100,8 @@ def exact_quantiles(
         counts.join(wanted, [*keys, "_b"])
         .filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
         .withColumn("_below", _below([*keys, "_rank"], "_v"))
+        .select("*", F.explode(probs).alias("prob"))
         .filter(in_slice)
-        .withColumn("prob", F.explode(probs))
         .filter((F.col("_rank") == F.floor(at)) | (F.col("_rank") == F.ceil(at)))
         .groupBy(*keys, "prob")
         .agg((low + (high - low) * F.max(at - F.floor(at))).alias("quantile"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: order priority -> payment type (fixed values of the binding)
 PAYMENT_TYPES = {
@@ -22,8 +23,15 @@ def _recode(column: str, values: dict[str, str]):
     return F.element_at(mapping, F.col(column))
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """One table; its schema is read from the file footers once per process."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def star_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

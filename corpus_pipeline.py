@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from panelforge.llm.common import materialize, table
 from panelforge.llm.decontamination import clean_documents
 from panelforge.llm.mixing import mixed_documents
+from panelforge.llm.ngram_join import distinct_documents
 from panelforge.llm.quality import good_documents
 from panelforge.llm.sharding import shard_documents, with_law
 
@@ -19,6 +20,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return good_documents(docs, table(spark, sf_dir, "labels"))
 
 
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return distinct_documents(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
@@ -33,6 +38,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality", quality),
+    ("n-gram Jaccard join", ngram_join),
     ("decontamination", decontamination),
     ("mixing", mixing),
     ("sharding", sharding),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from panelforge.llm.decontamination import op8_decontamination
 from panelforge.llm.line_dedup import op3_line_dedup
 from panelforge.llm.mixing import op9_mix_sources
+from panelforge.llm.ngram_join import op6_ngram_join
 from panelforge.llm.quality import op5_quality
 from panelforge.llm.sharding import op4_sharding
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
+    "op6_ngram_join": op6_ngram_join,
     "op8_decontamination": op8_decontamination,
     "op9_mix_sources": op9_mix_sources,
 }
@@ -63,4 +65,25 @@ filled AS (
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM o
 """
 
-ORACLE_SQL = {"op3_line_dedup": _LINE_DEDUP, "op9_mix_sources": _MIX}
+_NGRAM_JOIN = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+           ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS gram
+  FROM w
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  JOIN sizes s ON s.doc_id = a.doc_id JOIN sizes t ON t.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, s.n, t.n HAVING 100 * count(*) >= 80 * (s.n + t.n - count(*))
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+)
+SELECT w.doc_id, coalesce(sizes.n, 0) AS n_shingles, min(reach.y) AS component_id
+FROM w LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.x = w.doc_id GROUP BY w.doc_id, sizes.n
+"""
+
+ORACLE_SQL = {"op3_line_dedup": _LINE_DEDUP, "op6_ngram_join": _NGRAM_JOIN, "op9_mix_sources": _MIX}

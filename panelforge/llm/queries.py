@@ -8,12 +8,14 @@ from panelforge.llm.mixing import op9_mix_sources
 from panelforge.llm.ngram_join import op6_ngram_join
 from panelforge.llm.quality import op5_quality
 from panelforge.llm.sharding import op4_sharding
+from panelforge.llm.suffix_dedup import op7_suffix_dedup
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_ngram_join": op6_ngram_join,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_mix_sources": op9_mix_sources,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from panelforge.llm.decontamination import op8_decontamination
 from panelforge.llm.line_dedup import op3_line_dedup
 from panelforge.llm.mixing import op9_mix_sources
+from panelforge.llm.nearest import op10_nearest
 from panelforge.llm.ngram_join import op6_ngram_join
 from panelforge.llm.quality import op5_quality
 from panelforge.llm.sharding import op4_sharding
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_mix_sources": op9_mix_sources,
+    "op10_nearest": op10_nearest,
 }
 
 _LINE_DEDUP = r"""

@@ -10,8 +10,10 @@ from panelforge.llm.ngram_join import op6_ngram_join
 from panelforge.llm.quality import op5_quality
 from panelforge.llm.sharding import op4_sharding
 from panelforge.llm.suffix_dedup import op7_suffix_dedup
+from panelforge.llm.token_counts import op2_token_counts
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,

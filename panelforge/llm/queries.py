@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from panelforge.llm.decontamination import op8_decontamination
+from panelforge.llm.html_extraction import op1_html_extraction
 from panelforge.llm.line_dedup import op3_line_dedup
 from panelforge.llm.mixing import op9_mix_sources
 from panelforge.llm.nearest import op10_nearest
@@ -13,6 +14,7 @@ from panelforge.llm.suffix_dedup import op7_suffix_dedup
 from panelforge.llm.token_counts import op2_token_counts
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
     "op4_sharding": op4_sharding,

@@ -7,6 +7,8 @@ and as many move as the quotas allow. A quota is the room left under the
 capacity plus what leaves the shard in exchange. Members of a group in one
 shard are alike, so the state is one row per (group, shard) with a count: a
 group of a third of all rows has at most as many rows as there are shards.
+Groups that the quotas leave apart then take the seats that are left, side by
+side and the largest first, so no more of them than there are shards are cut.
 Documents without neighbours cut no edge; they fill what is left, so the
 shards' counts are at most one apart (law ``rows``).
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelforge.llm.common import materialize, number_rows, table, with_places
+from panelforge.llm.common import materialize, number_rows, running_start, table, with_places
 
 #: Fixed by the contract: shards, and bytes added to a text's size.
 SHARDS = 24
@@ -109,6 +111,26 @@ def _moves(state: DataFrame, room: DataFrame, slices: int) -> DataFrame:
     return allowed.where("m > 0").select("grp", "shard", "to", "m")
 
 
+def _seats(capacity: DataFrame, state: DataFrame) -> list[tuple[int, int]]:
+    """(seats, shard) that ``state`` leaves free, the most first. Collects one number per shard."""
+    loads = state.groupBy("shard").agg(F.sum("n").alias("load"))
+    free = capacity.join(loads, "shard", "left").select("shard", (F.col("capacity") - F.coalesce("load", F.lit(0))).alias("seats"))
+    return sorted(((row["seats"], row["shard"]) for row in free.collect()), reverse=True)
+
+
+def _seat_whole(state: DataFrame, capacity: DataFrame) -> DataFrame:
+    """Seats the groups that are still in several shards anew, one after the other."""
+    apart = state.groupBy("grp").agg(F.count("*").alias("k"), F.sum("n").alias("n")).where("k > 1").select("grp", "n")
+    stay = state.join(materialize(apart, "shard-apart"), "grp", "left_anti").select("grp", "shard", "n")
+    line = running_start(number_rows(apart, [F.col("n").desc(), F.col("grp")], "shard-line"), "n", [], "begin")
+    parts, end = [], 0
+    for seats, shard in _seats(capacity, stay):
+        here = F.least(F.col("begin") + F.col("n"), F.lit(end + seats)) - F.greatest(F.col("begin"), F.lit(end))
+        parts.append(F.struct(F.lit(shard).alias("shard"), here.alias("n")))
+        end += seats
+    return stay.union(line.select("grp", F.inline(F.array(*parts))).where("n > 0"))
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Per document ``doc_id, size, text_crc32, shard, slot``; the counts of the shards are at most one apart."""
     key = ["g", "text_crc32", "size"]
@@ -120,6 +142,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     first = F.pmod("place", F.lit(shards)).cast("int").alias("shard")
     start = ranked.join(groups, key).groupBy("grp", first).agg(F.count("*").alias("n"))
     state = propagate(materialize(start, "shard-state"), capacity, shards)
+    state = materialize(_seat_whole(state, capacity), "shard-seated")
     # members of a group take its shards in the order of their places
     line = Window.partitionBy("grp").orderBy(F.col("n").desc(), "shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     steps = (
@@ -136,15 +159,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def _fill(linked: DataFrame, capacity: DataFrame) -> DataFrame:
-    """Gives documents without a shard the seats that are left, in a hashed order. Collects one number per shard."""
-    loads = linked.where("shard is not null").groupBy("shard").agg(F.count("*").alias("load"))
-    seats = capacity.join(loads, "shard", "left").select("shard", (F.col("capacity") - F.coalesce("load", F.lit(0))).alias("seats"))
+    """Gives documents without a shard the seats that are left, in a hashed order."""
     alone = number_rows(linked.where("shard is null").drop("shard"), [F.xxhash64("place"), F.col("place")], "shard-alone")
     shard, end = F.lit(None).cast("int"), 0
     spans = []
-    for row in seats.orderBy("shard").collect():
-        end += row["seats"]
-        spans.append((end, row["shard"]))
+    for seats, number in _seats(capacity, linked.where("shard is not null").withColumn("n", F.lit(1))):
+        end += seats
+        spans.append((end, number))
     for end, number in reversed(spans):
         shard = F.when(F.col("seat") < end, F.lit(number)).otherwise(shard)
     seated = with_places(alone, "seat").withColumn("shard", shard)

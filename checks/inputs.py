@@ -19,7 +19,7 @@ STATE = ["customer_state"]
 SETTINGS = Settings(train_end="2000-06", val_end="2000-12", live_month="2001-07")
 
 _written: dict[tuple[str, str, str], str] = {}
-_hot: dict[tuple[str, str], list] = {}
+_hot: dict[tuple[str, str], DataFrame] = {}
 
 
 def prepare(spark: SparkSession) -> None:

@@ -74,7 +74,7 @@ def _quality_sql(name: str) -> str:
 )
 def data_quality_report(spark, folder):
     inputs_ = {n: read(spark, folder, n).select(*c) for n, c in _QUALITY_COLUMNS.items()}
-    return tables.data_quality_report(inputs_, by_digest=("documents",))
+    return tables.data_quality_report(inputs_)
 
 
 PANEL_DOUBLES = (

@@ -85,4 +85,73 @@ def stream_panel_refresh(spark, folder):
     panel.filter(F.col("ds") >= cut).coalesce(1).write.parquet(f"{path}-in")
     stream = spark.readStream.schema(panel.schema).parquet(f"{path}-in")
     live.stream_panel_refresh(stream, refresher)
-    return spark.read.parquet(f"{path}/features=0")
+    return refresher.features()
+
+
+def _in_parts(spark, folder, name, column):
+    """The table as three files that arrive one after the other, the first of them before the rest."""
+    inputs.prepare(spark)
+    path = scratch_path(spark, "arriving")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet").withColumn("_part", F.pmod(F.xxhash64(column), F.lit(3)))
+    parts = [rows.filter(F.col("_part") == k).drop("_part").coalesce(1) for k in range(3)]
+    parts[0].write.parquet(path)
+    return path, parts[1:], lambda: spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@check(
+    "stream_two_drains",
+    "SELECT event_id, event_type, value FROM events",
+    doubles="value",
+)
+def stream_two_drains(spark, folder):
+    """A second drain adds what has arrived since the first one."""
+    path, later, stream = _in_parts(spark, folder, "events", "event_id")
+    out = scratch_path(spark, "drained")
+    live.run_to_table(stream().select("event_id", "event_type", "value"), out)
+    for part in later:
+        part.write.mode("append").parquet(path)
+    live.run_to_table(stream().select("event_id", "event_type", "value"), out)
+    return spark.read.parquet(out)
+
+
+@check(
+    "stream_update_mode",
+    """SELECT o_orderstatus, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds, sum(o_totalprice) AS revenue, count(*) AS orders,
+      avg(o_totalprice) AS avg_ticket FROM orders GROUP BY ALL""",
+    doubles="revenue avg_ticket",
+    dates="ds",
+    revenue=2,
+)
+def stream_update_mode(spark, folder):
+    """Totals that several micro-batches correct; one row per status and month is left."""
+    path, later, stream = _in_parts(spark, folder, "orders", "o_orderkey")
+    out = scratch_path(spark, "updated")
+    for part in [None, *later]:
+        if part is not None:
+            part.write.mode("append").parquet(path)
+        marked = stream().withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+        totals = live.stream_period_aggregate(marked, "o_orderdate", ["o_orderstatus"], "o_totalprice", period="month", delay="4000 days")
+        live.run_to_table(totals, out, "update")
+    return live.read_updates(spark, out, ["o_orderstatus", "ds"])
+
+
+@check(
+    "stream_panel_corrections",
+    W(*sql.SERIES) + "SELECT * FROM s WHERE ds >= DATE '2000-02-01'",
+    doubles=SERIES_DOUBLES,
+    dates="ds",
+)
+def stream_panel_corrections(spark, folder):
+    """Wrong early values are corrected by later batches; all features that they reach equal the batch ones."""
+    panel = inputs.panel(spark, folder)
+    path = scratch_path(spark, "refresh")
+    first = F.to_date(F.lit("2000-02-01"))
+    refresher = live.PanelRefresher(spark, path, inputs.STATE, inputs.SETTINGS, arrival="arrival")
+    refresher.start_from(panel.filter(F.col("ds") < first))
+    late = panel.filter(F.col("ds") >= first).withColumn("arrival", F.lit(2))
+    wrong = late.withColumn("monthly_revenue", F.col("monthly_revenue") * 3).withColumn("arrival", F.lit(1))
+    middle = F.to_date(F.lit("2000-06-01"))
+    # the first batch has a wrong month next to its correction, and another month only wrong
+    refresher(late.filter(F.col("ds") != middle).unionByName(wrong.filter(F.col("ds") <= middle)), 0)
+    refresher(late.filter(F.col("ds") == middle), 1)
+    return refresher.features()

@@ -115,7 +115,8 @@ def apply_rare(df: DataFrame, keep: dict[str, list[str]]) -> DataFrame:
 
 def rare_category_group(df: DataFrame, columns: list[str], threshold: float = 0.02) -> DataFrame:
     if threshold <= 0:
-        return df
+        # every category stays, without a list of them; NULL is "other" as always
+        return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("other")) for c in columns})
     keep: dict[str, list[str]] = {c: [] for c in columns}
     for r in fit_rare(df, columns, threshold).collect():
         keep[r["column"]].append(r["category"])
@@ -124,19 +125,13 @@ def rare_category_group(df: DataFrame, columns: list[str], threshold: float = 0.
 
 # ---- one-hot ------------------------------------------------------------
 
-#: A wide one-hot table has one column per category; beyond this many use
-#: :func:`one_hot_long`, which has no such limit.
-MAX_DUMMIES = 2000
-
 
 def fit_one_hot(df: DataFrame, columns: list[str], drop_first: bool = False) -> dict[str, list[str]]:
+    """The categories of each column, one per column of the wide table; :func:`one_hot_long` needs no list."""
     text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in columns])
     values = text.unpivot([], [F.col(c) for c in columns], "column", "category").distinct()
-    rows = values.limit(MAX_DUMMIES + 1).collect()
-    if len(rows) > MAX_DUMMIES:
-        raise ValueError("too many categories for a wide table; group rare ones first or use one_hot_long")
     found: dict[str, list[str]] = {c: [] for c in columns}
-    for r in rows:
+    for r in values.collect():
         found[r["column"]].append(r["category"])
     out = {}
     for c, categories in found.items():
@@ -154,8 +149,7 @@ def apply_one_hot(df: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
     }
     if not dummies:
         return df
-    encoded = df.withColumns(dummies)
-    return encoded.drop(*[c for c in categories if c in df.columns])
+    return df.select(*[c for c in df.columns if c not in categories], *[e.alias(n) for n, e in dummies.items()])
 
 
 def one_hot(df: DataFrame, columns: list[str], drop_first: bool = False) -> DataFrame:

@@ -107,6 +107,3 @@ def to_long(df: DataFrame, features: list[str], ids: list[str] | None = None) ->
     cast = df.select(*ids, *[F.col(f).cast("double").alias(f) for f in features])
     return cast.unpivot([F.col(c) for c in ids], [F.col(f) for f in features], "feature", "value")
 
-
-def rank_within(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.session import scratch_path
+
+# Column names of the raw tables.
 CUSTOMER_COLUMNS = ["customer_id", "customer_unique_id", "customer_city", "customer_state"]
 PRODUCT_COLUMNS = [
     "product_id",
@@ -17,9 +20,7 @@ PRODUCT_COLUMNS = [
 SELLER_COLUMNS = ["seller_id", "seller_city", "seller_state"]
 REVIEW_COLUMNS = ["order_id", "review_score", "review_comment_title"]
 
-#: At most this many keys are treated as hot, which bounds the broadcast list.
-#: A key outside the list holds less than 1/512 of a child table.
-MAX_HOT_KEYS = 512
+#: A key with more rows than this in a child is cut into slices of about this size.
 ROWS_PER_SLICE = 1_000_000
 
 
@@ -27,8 +28,8 @@ def hot_keys(children: list[DataFrame], key: str, rows_per_slice: int = ROWS_PER
     """``(key, spread, n_slices)`` of keys with more than ``rows_per_slice`` rows in a child.
 
     ``spread`` is the position of the child with most rows of that key. Counting
-    reads the key column only and folds map-side; the result has at most
-    ``MAX_HOT_KEYS`` rows by construction, so it is safe to broadcast.
+    reads the key column only and folds map-side. The list has no limit: it is
+    an ordinary table, at most one row per ``rows_per_slice`` rows of the children.
     """
     counts = None
     for i, child in enumerate(children):
@@ -43,8 +44,6 @@ def hot_keys(children: list[DataFrame], key: str, rows_per_slice: int = ROWS_PER
     return (
         counts.groupBy(key)
         .agg(F.max("n").alias("n"), F.max_by("spread", F.struct("n", "spread")).alias("spread"))
-        .orderBy(F.desc("n"), F.asc(key))
-        .limit(MAX_HOT_KEYS)
         .select(key, "spread", F.ceil(F.col("n") / F.lit(rows_per_slice)).cast("int").alias("n_slices"))
     )
 
@@ -53,12 +52,12 @@ def left_join_children(
     parent: DataFrame,
     children: list[DataFrame],
     key: str,
-    hot: list[Row] | None = None,
+    hot: DataFrame | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Parent left-joined with every combination of its children, balanced under hot keys.
 
-    ``hot`` is the collected :func:`hot_keys` table, found here when not given.
+    ``hot`` is the :func:`hot_keys` table, found and written here when not given.
     Without hot keys these are plain joins on one key, so each input is
     exchanged once. Otherwise all joins use (key, slice): ordinary keys have one
     slice, a hot key is cut into several. The rows of its largest child are
@@ -67,21 +66,19 @@ def left_join_children(
     of the cut and is dropped; the key has such rows by definition, so the
     result equals the plain joins.
     """
-    found = hot_keys(children, key, rows_per_slice).collect() if hot is None else hot
-    if not found:
+    cuts = written_hot_keys(children, key, rows_per_slice) if hot is None else hot
+    if cuts.isEmpty():
         for child in children:
             parent = parent.join(child, key, "left")
         return parent
-    schema = hot_keys(children, key, rows_per_slice).schema
-    # at most MAX_HOT_KEYS rows
-    cuts = F.broadcast(parent.sparkSession.createDataFrame(found, schema))
     every = F.when(F.col("n_slices").isNull(), F.array(F.lit(0))).otherwise(
         F.sequence(F.lit(0), F.col("n_slices") - 1)
     )
-    one = F.array(F.pmod(F.monotonically_increasing_id(), F.col("n_slices")).cast("int"))
     joined = parent.join(cuts, key, "left").select(*parent.columns, "spread", F.explode(every).alias("_slice"))
     kept = F.col("spread").isNull()
     for i, child in enumerate(children):
+        # by content, so a task that runs again deals its rows to the same slices
+        one = F.array(F.pmod(F.xxhash64(*child.columns), F.col("n_slices")).cast("int"))
         slices = F.when(F.col("spread") == i, one).otherwise(every)
         sliced = (
             child.join(cuts, key, "left")
@@ -98,10 +95,18 @@ def category_lookup(products: DataFrame, category_trans: DataFrame) -> DataFrame
     return products.join(category_trans, "product_category_name", "left")
 
 
-def hot_orders(tables: dict[str, DataFrame], rows_per_slice: int = ROWS_PER_SLICE) -> list[Row]:
+def written_hot_keys(children: list[DataFrame], key: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """:func:`hot_keys` as a written table: counted once, and of a known size when Spark plans the joins."""
+    spark = children[0].sparkSession
+    found, path = hot_keys(children, key, rows_per_slice), scratch_path(spark, "hot-keys")
+    found.coalesce(1).write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
+def hot_orders(tables: dict[str, DataFrame], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Orders with very many items, payments or reviews; count them once per set of tables."""
     children = [tables[n] for n in ("order_items", "order_payments", "order_reviews")]
-    return hot_keys(children, "order_id", rows_per_slice).collect()
+    return written_hot_keys(children, "order_id", rows_per_slice)
 
 
 def fact_children_join(
@@ -109,7 +114,7 @@ def fact_children_join(
     items: DataFrame,
     payments: DataFrame,
     reviews: DataFrame,
-    hot: list[Row] | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Orders with every combination of their items, payments and reviews."""
     return left_join_children(orders, [items, payments, reviews.select(*REVIEW_COLUMNS)], "order_id", hot)
@@ -128,7 +133,7 @@ def dimension_join(facts: DataFrame, customers: DataFrame, products: DataFrame,
     )
 
 
-def build_master_table(tables: dict[str, DataFrame], hot: list[Row] | None = None) -> DataFrame:
+def build_master_table(tables: dict[str, DataFrame], hot: DataFrame | None = None) -> DataFrame:
     """One wide row per order, item, payment and review."""
     facts = fact_children_join(
         tables["orders"], tables["order_items"], tables["order_payments"], tables["order_reviews"], hot

@@ -2,9 +2,10 @@
 
 The built-in exact ``percentile`` keeps every distinct value of a group in one
 task. Here equal values are first folded to one (group, value, count) row, the
-bucket that holds each wanted rank is found on bucket counts, and only the
-values of that bucket are ranked. No task holds a whole group, and the answer
-equals ``percentile``.
+bucket that holds each wanted rank is found on bucket counts, that bucket is cut
+once more, and only the values of one slice are ranked. No task holds a whole
+group, also if its values lie close together, and the answer equals
+``percentile``.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from panelforge.operators.features import to_long
 
 #: Buckets per doubling of the value: a bucket spans 0.004 % of its value.
 LOG_STEPS = 16384
-#: Equal slices of a bucket in the optional second round.
+#: Equal slices of a bucket in the second cut.
 LINEAR_STEPS = 65536
 
 
@@ -39,13 +40,10 @@ def exact_quantiles(
     value: str,
     probabilities: list[float],
     weight: str | None = None,
-    second_round: bool = False,
 ) -> DataFrame:
     """``(keys…, prob, quantile)`` for each probability; key columns must not be NULL.
 
     ``weight`` is a row multiplicity: a row counts as that many equal rows.
-    ``second_round`` cuts the located bucket once more before ranking; use it
-    for columns with very many distinct values in a narrow range.
     """
     n = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
     probs = F.array(*[F.lit(float(p)) for p in probabilities])
@@ -79,18 +77,17 @@ def exact_quantiles(
     )
     inside = F.col("_rank") - F.col("_base")
     in_slice = (F.col("_below") <= inside) & (inside < F.col("_below") + F.col("_n"))
-    if second_round:
-        width = F.col("_hi") - F.col("_lo")
-        slice_of = F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width) * LINEAR_STEPS)
-        wanted = (
-            counts.join(wanted, [*keys, "_b"])
-            .groupBy(*keys, "_b", "_rank", "_base", "_total", F.coalesce(slice_of, F.lit(0)).alias("_s"))
-            .agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-            .withColumn("_below", _below([*keys, "_rank"], "_s"))
-            .filter(in_slice)
-            .withColumn("_base", F.col("_base") + F.col("_below"))
-            .select(*keys, "_b", "_rank", "_base", "_total", "_lo", "_hi")
-        )
+    width = F.col("_hi") - F.col("_lo")
+    slice_of = F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width) * LINEAR_STEPS)
+    wanted = (
+        counts.join(wanted, [*keys, "_b"])
+        .groupBy(*keys, "_b", "_rank", "_base", "_total", F.coalesce(slice_of, F.lit(0)).alias("_s"))
+        .agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .withColumn("_below", _below([*keys, "_rank"], "_s"))
+        .filter(in_slice)
+        .withColumn("_base", F.col("_base") + F.col("_below"))
+        .select(*keys, "_b", "_rank", "_base", "_total", "_lo", "_hi")
+    )
 
     # rank the values inside, then bring the neighbours of a probability together
     at = F.col("prob") * (F.col("_total") - 1)

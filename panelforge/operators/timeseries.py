@@ -54,14 +54,14 @@ def growth_features(panel: DataFrame, keys=None) -> DataFrame:
     return panel.withColumns(growth_columns(series(keys)))
 
 
-def calendar_densify(panel: DataFrame, keys: list[str] | None = None, ds: str = "ds") -> DataFrame:
-    """Adds the missing months of each series between its first and last one."""
+def calendar_densify(panel: DataFrame, keys: list[str] | None = None, ds: str = "ds", grain: str = "1 MONTH") -> DataFrame:
+    """Adds the missing periods of each series between its first and last one; ``grain`` is their length."""
     keys = keys or []
     spine = (
         panel.groupBy(*keys)
         .agg(F.min(ds).alias("_a"), F.max(ds).alias("_b"))
         .filter(F.col("_a").isNotNull())
-        .select(*keys, F.explode(F.sequence("_a", "_b", F.expr("INTERVAL 1 MONTH"))).alias(ds))
+        .select(*keys, F.explode(F.sequence("_a", "_b", F.expr(f"INTERVAL {grain}"))).alias(ds))
     )
     return spine.join(panel, [*keys, ds], "left")
 
@@ -108,9 +108,10 @@ def difference(panel: DataFrame, keys=None, target="monthly_revenue") -> DataFra
 
 
 def cumulative_share(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    """Share of the total in percent and its running sum, largest value first."""
+    """Share of the total in percent and its running sum, largest value first, ties in the order of the other columns."""
     whole = Window.partitionBy(*(keys or []))
-    running = whole.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
+    ties = [c for c in df.columns if c != value and c not in (keys or [])]
+    running = whole.orderBy(F.desc(value), *ties).rowsBetween(Window.unboundedPreceding, 0)
     share = ratio(F.col(value) * 100, F.sum(value).over(whole))
     return df.withColumn("share_pct", share).withColumn("cumulative_pct", F.sum("share_pct").over(running))
 

@@ -8,6 +8,7 @@ import uuid
 from dataclasses import dataclass, field
 
 import pyspark
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,8 +91,7 @@ class TrainPlan:
         fit_on = self.split(raw).filter(F.col("split") == "train").drop("split", "is_live") if self.leakage_free else raw
         self.cleaning_model = cleaning.fit_cleaning(fit_on, self.settings, self.keys)
         self.cleaning_model.to_frame(self.spark).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/cleaning")
-        self.cleaning_model.transform(raw, self.keys).write.mode("overwrite").parquet(f"{self.path}/cleaned")
-        self.cleaned = self.spark.read.parquet(f"{self.path}/cleaned")
+        self._keep_cleaned(0)
         return self
 
     # 6
@@ -212,9 +212,37 @@ class TrainPlan:
         cleaned = self.cleaning_model.transform(raw, self.keys)
         return forecast.forecast(self.forecaster, cleaned, self.keys, horizon, self.settings)
 
-    def _with(self, arrived: DataFrame) -> DataFrame:
+    def _keep_cleaned(self, number: int) -> None:
+        path = f"{self.path}/cleaned/number={number}"
+        self.cleaning_model.transform(self.panel, self.keys).write.mode("overwrite").parquet(path)
+        self.cleaned = self.spark.read.parquet(path)
+
+    def raw_panel(self) -> DataFrame:
+        """The stored panel: its base, then every refresh in order; a later row of a period replaces an earlier one."""
         base = store.read_panel(self.spark, f"{self.path}/panel")
-        return add_time_series_features(splits.union_history(base, arrived), self.settings, self.keys)
+        for number in self._refreshes():
+            arrived = self.spark.read.parquet(f"{self.path}/arrived/number={number}")
+            ids = [*self.keys, "ds"]
+            base = splits.union_history(base.join(arrived.select(*ids), ids, "left_anti"), arrived)
+        return base
+
+    def _refreshes(self) -> list[int]:
+        try:
+            numbers = self.spark.read.parquet(f"{self.path}/arrived").select("number").distinct().collect()
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return []
+        return sorted(r["number"] for r in numbers)
+
+    def keep_arrived(self, arrived: DataFrame) -> int:
+        """Stores newly arrived periods; gives the number of the refresh."""
+        number = 1 + max(self._refreshes(), default=0)
+        arrived.write.parquet(f"{self.path}/arrived/number={number}")
+        return number
+
+    def _with(self, arrived: DataFrame) -> DataFrame:
+        return add_time_series_features(splits.union_history(self.raw_panel(), arrived), self.settings, self.keys)
 
     def incremental_refresh(self, arrived: DataFrame, window: int = 3, extra_trees: int = 20) -> DataFrame:
         """New periods: recompute features, clean without refitting, boost on recent rows, score again."""
@@ -225,11 +253,9 @@ class TrainPlan:
 
 def refresh(plan: TrainPlan, arrived: DataFrame, window: int = 3, extra_trees: int = 20) -> DataFrame:
     s = plan.settings
-    plan.panel = plan._with(arrived)
-    cleaned = plan.cleaning_model.transform(plan.panel, plan.keys)
-    path = scratch_path(plan.spark, "refreshed")
-    cleaned.write.mode("overwrite").parquet(path)
-    plan.cleaned = plan.spark.read.parquet(path)
+    number = plan.keep_arrived(arrived)
+    plan.panel = add_time_series_features(plan.raw_panel(), s, plan.keys)
+    plan._keep_cleaned(number)
     recent = splits.holdout_last_n(plan.cleaned, max(window, 2), plan.keys).filter("is_test").drop("is_test")
     plan.forecaster.update(recent, s.target, plan.keys, extra_trees)
     plan.forecaster.save(plan.spark, f"{plan.path}/model")
@@ -242,10 +268,10 @@ def refresh(plan: TrainPlan, arrived: DataFrame, window: int = 3, extra_trees: i
 def load_plan(spark: SparkSession, path: str, settings: Settings = Settings(), keys: list[str] | None = None) -> TrainPlan:
     """A trained plan from its folder: panel, cleaning parameters and models."""
     plan = TrainPlan(spark, settings, keys or [], path)
-    base = store.read_panel(spark, f"{path}/panel")
-    plan.panel = add_time_series_features(base, settings, plan.keys)
+    plan.panel = add_time_series_features(plan.raw_panel(), settings, plan.keys)
     plan.cleaning_model = cleaning.CleaningModel.from_frame(store.read_panel(spark, f"{path}/cleaning"))
-    plan.cleaned = store.read_panel(spark, f"{path}/cleaned")
+    last = max(plan._refreshes(), default=0)
+    plan.cleaned = store.read_panel(spark, f"{path}/cleaned/number={last}")
     plan.forecaster = forecast.DirectForecaster.load(spark, f"{path}/model")
     plan.selected = plan.forecaster.features
     return plan

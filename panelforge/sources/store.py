@@ -58,8 +58,9 @@ def load_model(spark: SparkSession, path: str) -> tuple[dict[int, PipelineModel]
 
 
 def export_selection_table(table: DataFrame, path: str) -> str:
-    """One UTF-8 CSV file with a header; the table has one row per column of the panel."""
-    table.orderBy("Nro").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """One UTF-8 CSV file with byte order mark and header; the table has one row per column of the panel."""
+    first = table.columns[0]
+    table.orderBy("Nro").withColumnRenamed(first, f"\ufeff{first}").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     return path
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from panelforge.config import Settings
 from panelforge.operators.timeseries import add_time_series_features
-from panelforge.session import scratch_path
 
 
 def stream_period_aggregate(
@@ -46,31 +45,48 @@ def stream_dedup_events(stream: DataFrame, ts: str, ids: list[str], delay: str =
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(ids)
 
 
-def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> None:
-    """Drains the available input into a parquet table.
+def run_to_table(stream: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None) -> None:
+    """Drains the available input into a parquet table; further calls go on where the last one stopped.
 
-    In append mode the file sink is exactly-once; in complete or update mode
-    every micro-batch result replaces or extends the table.
+    The checkpoint belongs to the table: by default it lies beside ``path``. In
+    append mode the file sink is exactly-once. In complete mode each micro-batch
+    replaces the table. In update mode each writes the rows that changed under
+    its own number, and :func:`read_updates` gives the latest row of each key.
     """
-    spark = stream.sparkSession
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
-    writer = writer.option("checkpointLocation", scratch_path(spark, "stream"))
+    writer = writer.option("checkpointLocation", checkpoint or f"{path.rstrip('/')}.checkpoint")
     if mode == "append":
         query = writer.format("parquet").start(path)
+    elif mode == "complete":
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
     else:
-        save = "overwrite" if mode == "complete" else "append"
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode(save).parquet(path)).start()
+        query = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")).start()
     query.awaitTermination()
 
 
-class PanelRefresher:
-    """``foreachBatch`` handler that upserts arriving period rows into a versioned panel.
+def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key in the given order; a partial aggregate, so a key with many versions is no hot key."""
+    columns = [c for c in rows.columns if c not in keys]
+    lead = [*order, *[c for c in columns if c not in order]]
+    newest = rows.groupBy(*keys).agg(F.max(F.struct(*lead)).alias("_last"))
+    return newest.select(*keys, "_last.*").select(*rows.columns)
+
+
+def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The table that update mode has written: of each key the row of its last micro-batch."""
+    return latest(spark.read.parquet(path), keys, ["batch"]).drop("batch")
 
-    Each batch writes a new version: untouched rows (anti join) plus the new
-    ones. Features are then recomputed for the touched series over their last
-    periods only and handed to ``score``. Batch n builds on version n − 1 and
-    writes version n, so a replayed batch, also after a restart, repeats the
-    same work into the same folder.
+
+class PanelRefresher:
+    """``foreachBatch`` handler that upserts arriving period rows into a panel.
+
+    The panel is a base and numbered arrivals; the last arrival of a period
+    counts, and within a batch the last in the order of ``arrival`` (then of the
+    other columns). A batch writes its arrivals only, never the whole panel.
+    Features are recomputed for the touched series, from the first touched
+    period on as far as lags, windows and yearly growth reach, and handed to
+    ``score``. A replayed batch, also after a restart, repeats the same work
+    into the same folders.
     """
 
     def __init__(
@@ -79,44 +95,50 @@ class PanelRefresher:
         path: str,
         keys: list[str],
         settings: Settings = Settings(),
-        history: int = 12,
+        arrival: str | None = None,
         score: Callable[[DataFrame], DataFrame] | None = None,
     ):
         self.spark, self.path, self.keys, self.settings = spark, path, keys, settings
-        self.history, self.score = history, score
-        self.version = f"{path}/version=base"
+        self.arrival, self.score = arrival, score
+        #: Rows that a period's features look back, and so how far a correction reaches.
+        self.reach = max([*settings.lag_periods, *settings.rolling_windows, 12])
 
     def start_from(self, panel: DataFrame) -> "PanelRefresher":
-        panel.write.mode("overwrite").parquet(self.version)
+        panel.write.mode("overwrite").parquet(f"{self.path}/rows/batch=-1")
         return self
 
-    def current(self) -> DataFrame:
-        return self.spark.read.parquet(self.version)
+    def current(self, batch_id: int | None = None) -> DataFrame:
+        """The panel after a batch, by default after the last one."""
+        rows = self.spark.read.parquet(f"{self.path}/rows")
+        if batch_id is not None:
+            rows = rows.filter(F.col("batch") <= batch_id)
+        return latest(rows, [*self.keys, "ds"], ["batch"]).drop("batch")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        before = f"version={batch_id - 1}" if batch_id else "version=base"
-        base = self.spark.read.parquet(f"{self.path}/{before}")
+        columns = self.spark.read.parquet(f"{self.path}/rows/batch=-1").columns
         ids = [*self.keys, "ds"]
-        target = f"{self.path}/version={batch_id}"
+        order = [self.arrival] if self.arrival else []
+        arrived_path = f"{self.path}/rows/batch={batch_id}"
+        latest(batch, ids, order).select(*columns).write.mode("overwrite").parquet(arrived_path)
         # the stored batch decides which rows are touched, also after a retry
-        arrived_path = f"{self.path}/arrived={batch_id}"
-        batch.select(*base.columns).write.mode("overwrite").parquet(arrived_path)
         arrived = self.spark.read.parquet(arrived_path)
-        kept = base.join(arrived.select(*ids), ids, "left_anti")
-        kept.unionByName(arrived).write.mode("overwrite").parquet(target)
-        self.version = target
-        # lags count rows, so the features need the last rows before the first touched period
-        touched = arrived.withColumn("_one", F.lit(1)).groupBy("_one", *self.keys).agg(F.min("ds").alias("_from"))
-        panel = self.current().withColumn("_one", F.lit(1)).join(touched, ["_one", *self.keys])
-        before = F.col("ds") < F.col("_from")
-        back = F.row_number().over(Window.partitionBy(*self.keys, before).orderBy(F.desc("ds")))
-        recent = panel.withColumn("_back", back).filter(~before | (F.col("_back") <= self.history))
-        featured = (
-            add_time_series_features(recent.drop("_one", "_from", "_back"), self.settings, self.keys)
-            .join(arrived.select(*ids), ids, "left_semi")
+        touched = arrived.withColumn("_one", F.lit(1)).groupBy("_one", *self.keys).agg(F.min("ds").alias("_from"), F.max("ds").alias("_to"))
+        panel = self.current(batch_id).withColumn("_one", F.lit(1)).join(touched, ["_one", *self.keys])
+        # features count rows: as many before the first touched period, and after the last one, as they reach
+        before, after = F.col("ds") < F.col("_from"), F.col("ds") > F.col("_to")
+        side = F.when(before, -1).when(after, 1).otherwise(0)
+        away = F.row_number().over(
+            Window.partitionBy(*self.keys, "_side").orderBy(F.when(before, -F.unix_date("ds")).otherwise(F.unix_date("ds")))
         )
+        near = panel.withColumn("_side", side).withColumn("_away", away).filter((F.col("_side") == 0) | (F.col("_away") <= self.reach))
+        changed = near.filter(F.col("_side") >= 0).select(*ids)
+        featured = add_time_series_features(near.select(*columns), self.settings, self.keys).join(changed, ids, "left_semi")
         out = self.score(featured) if self.score else featured
-        out.write.mode("overwrite").parquet(f"{self.path}/features={batch_id}")
+        out.write.mode("overwrite").parquet(f"{self.path}/features/batch={batch_id}")
+
+    def features(self) -> DataFrame:
+        """The recomputed feature rows of all batches, the last of each period."""
+        return read_updates(self.spark, f"{self.path}/features", [*self.keys, "ds"])
 
 
 def stream_panel_refresh(stream: DataFrame, refresher: PanelRefresher) -> None:

@@ -69,7 +69,7 @@ def test_hot_keys_pick_the_largest_child(spark):
 def test_balanced_join_equals_plain_join(spark):
     tables = make_tables(spark, hot_order="o7")
     children = [tables["order_items"], tables["order_payments"], tables["order_reviews"]]
-    plain = left_join_children(tables["orders"], children, "order_id", hot=[])
+    plain = left_join_children(tables["orders"], children, "order_id", hot=spark.createDataFrame([], "order_id string, spread int, n_slices int"))
     for size in (1, 2, 10):
         cut = left_join_children(tables["orders"], children, "order_id", rows_per_slice=size)
         assert bag(cut, sorted(plain.columns)) == bag(plain, sorted(plain.columns))

@@ -57,4 +57,47 @@ def test_refresh_upserts_and_replays(spark):
     assert len(first) == panel.count() - panel.filter((F.col("ds") >= cut) & (F.col("k") == "bb")).count()
     whole = add_time_series_features(refresher.current(), keys=["k"]).filter((F.col("k") == "a") & (F.col("ds") >= dt.date(2022, 3, 1)))
     columns = ["k", "ds", "revenue_lag_1", "revenue_lag_12", "revenue_rolling_mean_6"]
-    assert rows(spark.read.parquet(f"{path}/features=0"), columns) == rows(whole, columns)
+    assert rows(refresher.features(), columns) == rows(whole, columns)
+
+
+def test_a_second_drain_adds_what_arrived(spark):
+    path, out = scratch_path(spark, "in"), scratch_path(spark, "out")
+    batch = source(spark, [1, 2, 3])
+    for k in (1, 2):
+        batch.filter(F.dayofmonth("ts") <= k).filter(F.dayofmonth("ts") > k - 1).coalesce(1).write.mode("append").parquet(path)
+        live.run_to_table(spark.readStream.schema(batch.schema).parquet(path), out)
+    expected = batch.filter(F.dayofmonth("ts") <= 2)
+    assert rows(spark.read.parquet(out), ["id", "value"]) == rows(expected, ["id", "value"])
+
+
+def test_update_mode_keeps_one_row_per_key(spark):
+    path, out = scratch_path(spark, "in"), scratch_path(spark, "out")
+    data = spark.createDataFrame([("a", dt.datetime(2024, 1, 1, 1), 1.0), ("a", dt.datetime(2024, 1, 1, 2), 2.0)], "k string, ts timestamp, value double")
+    for v in (1.0, 2.0):
+        data.filter(F.col("value") == v).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(data.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    live.run_to_table(live.stream_period_aggregate(stream, "ts", ["k"], "value"), out, "update")
+    assert rows(live.read_updates(spark, out, ["k", "ds"]), ["k", "revenue", "orders"]) == [("a", 3.0, 2)]
+
+
+def test_corrections_reach_later_periods(spark):
+    from panelforge.config import Settings
+
+    settings = Settings(lag_periods=(1, 24))
+    panel = spark.createDataFrame(
+        [("a", dt.date(2018 + m // 12, m % 12 + 1, 1), 100.0 + m * m, m) for m in range(60)], "k string, ds date, monthly_revenue double, monthly_orders int"
+    )
+    path = scratch_path(spark, "refresh")
+    refresher = live.PanelRefresher(spark, path, ["k"], settings, arrival="seen").start_from(panel)
+    month = panel.filter(F.col("ds") == dt.date(2019, 6, 1))
+    twice = month.withColumn("monthly_revenue", F.lit(9.0)).withColumn("seen", F.lit(2)).unionByName(
+        month.withColumn("monthly_revenue", F.lit(5.0)).withColumn("seen", F.lit(1))
+    )
+    refresher(twice, 0)
+    assert refresher.current().count() == 60
+    whole = add_time_series_features(refresher.current(), settings, ["k"])
+    assert whole.filter("monthly_revenue = 9.0").count() == 1
+    got = refresher.features()
+    assert got.count() == 25
+    columns = ["ds", "revenue_lag_1", "revenue_lag_24", "revenue_yoy_growth", "revenue_rolling_mean_6"]
+    assert rows(got, columns) == rows(whole.join(got.select("ds"), "ds", "left_semi"), columns)

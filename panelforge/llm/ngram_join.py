@@ -6,13 +6,13 @@ first ones in a global order, so only those first tokens (a fifth of a set) are
 compared; tokens that many documents hold come last in the order.
 
 1. Tokens held by one node alone are dropped.
-2. Similar nodes are grouped: the smallest node of each token is a centre, and
-   nodes that are verified against a centre share its group.
+2. Similar nodes are grouped: one node of each token is a centre, and nodes that
+   are verified against a centre share its group.
 3. The token-group matrix stores each group's union of first tokens, with the
    range of its set sizes. For a node (the query) and another group, the tokens
    they share bound the overlap with any member; only groups that can still
-   reach the share are opened, and only pairs within them whose own bound holds
-   are verified on whole sets.
+   reach the share are opened, and only pairs within them whose own bounds hold
+   (common tokens, and bitmaps of the whole sets) are verified on whole sets.
 4. Links become components.
 
 A group of thousands of near copies has one row per token in the matrix, so it
@@ -26,6 +26,8 @@ Defined results:
 * repeated rows and equal texts share a component; its id is the smallest
   non-null ``doc_id`` in it (null if there is none);
 * hashes of words, shingles and sets have 64 bits;
+* the centres and the list of frequent tokens only steer the work: any choice of
+  them gives the same links;
 * only ``doc_id`` and ``text`` are read, so other columns may have any name.
 """
 
@@ -42,6 +44,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import materialize, table, text_batches
 from panelforge.llm.components import components
+from panelforge.llm.hashing import Hashes
 
 #: Words of a shingle.
 WORDS = 5
@@ -60,26 +63,27 @@ ROW_BITS = 26
 _LOW32 = np.uint64(0xFFFFFFFF)
 
 
-class Shingler:
-    """Texts to sorted sets of shingle hashes; hashes of seen words are kept, up to a bound."""
+#: Fixed by the contract: bytes between words.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
 
-    KEPT_WORDS = 600_000
+class Shingler:
+    """Texts to sorted sets of shingle hashes."""
 
     def __init__(self, words: int = WORDS):
         self.words = words
-        self.seen: dict[bytes, int] = {}
+        self.hashes = Hashes()
 
     def tokens(self, text: str | None) -> np.ndarray:
-        # bytes.lower and bytes.split know ASCII only, which is the contract
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not words:
+        if not text:
+            return np.empty(0, np.uint64)
+        # bytes.lower knows ASCII only, which is the contract
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+        edge = np.flatnonzero(np.diff(_SPACE[data], prepend=True, append=True))
+        if not len(edge):
             return np.empty(0, np.uint64)
-        seen = self.seen
-        if len(seen) > self.KEPT_WORDS:
-            seen.clear()
-        for word in set(words).difference(seen):
-            seen[word] = xxhash.xxh3_64_intdigest(word)
-        ids = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+        ids = self.hashes.stretch(self.hashes.of(data), edge[::2], edge[1::2])
         width = min(self.words, len(ids))
         h = np.full(len(ids) - width + 1, width, np.uint64)
         for k in range(width):
@@ -109,6 +113,13 @@ def first_tokens(tokens: np.ndarray, heavy: np.ndarray | None = None) -> tuple[n
     return light, tokens[is_heavy][: count - len(light)]
 
 
+def parity(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits: whether an odd number of tokens falls on each. Bits in which two sets differ bound their difference."""
+    odd = (np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=128) & 1).astype(np.uint8)
+    first, second = np.packbits(odd).view(np.int64).tolist()
+    return first, second
+
+
 def _buckets(spark: SparkSession) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -167,7 +178,7 @@ def heavy_tokens(docs: DataFrame) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per row ``doc_id, row, n, node, light, heavy``: set size, hash of the set, first tokens (packed)."""
+    """Per row ``doc_id, row, n, node, b0, b1, light, heavy``: set size, hash and bitmap of the set, first tokens."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(heavy_tokens(docs))
 
@@ -179,63 +190,53 @@ def sketches(docs: DataFrame) -> DataFrame:
                 tokens = shingler.tokens(text.as_py())
                 light, late = first_tokens(tokens, heavy)
                 node = int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
-                out.append((len(tokens), node, light.tobytes(), late.view(np.int64)))
-            n, node, light, late = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(light, pa.binary()), pa.array(late, pa.list_(pa.int64()))],
-                names=["doc_id", "row", "n", "node", "light", "heavy"],
-            )
+                out.append((len(tokens), node, *parity(tokens), light.tobytes(), late.view(np.int64)))
+            kinds = (*[pa.int64()] * 4, pa.binary(), pa.list_(pa.int64()))
+            columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "row", "n", "node", "b0", "b1", "light", "heavy"])
 
-    sketched = _rows(docs).mapInArrow(sketch, "doc_id long, row long, n long, node long, light binary, heavy array<long>")
+    sketched = _rows(docs).mapInArrow(sketch, "doc_id long, row long, n long, node long, b0 long, b1 long, light binary, heavy array<long>")
     return materialize(sketched, "shingle-sketches")
 
 
-def shared_tokens(sketched: DataFrame) -> DataFrame:
-    """``token, node, n`` for the first tokens that several nodes hold."""
+def shared_tokens(sketched: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``token, node, n, late, b0, b1`` for the first tokens that several nodes hold."""
     spark = sketched.sparkSession
     buckets = _buckets(spark)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            parts, nodes, sizes = [], [], []
-            for n, node, light in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            parts, nodes = [], []
+            for node, light in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if node not in seen:
                     seen.add(node)
                     parts.append(np.frombuffer(light, np.uint64))
                     nodes.append(np.full(len(parts[-1]), node, np.int64))
-                    sizes.append(np.full(len(parts[-1]), n, np.int32))
             if not parts:
                 continue
-            tokens, nodes, sizes = np.concatenate(parts), np.concatenate(nodes), np.concatenate(sizes)
-            rows = [
-                (b, tokens[at].tobytes(), nodes[at].tobytes(), sizes[at].tobytes())
-                for b, at in _by_bucket((tokens & _LOW32).astype(np.int64) % buckets, buckets)
-            ]
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "tokens", "nodes", "sizes"]
-            )
+            tokens, nodes = np.concatenate(parts), np.concatenate(nodes)
+            rows = [(b, tokens[at].tobytes(), nodes[at].tobytes()) for b, at in _by_bucket((tokens & _LOW32).astype(np.int64) % buckets, buckets)]
+            kinds = (pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "tokens", "nodes"])
 
     def several(rows: pd.DataFrame) -> pd.DataFrame:
-        tokens = np.concatenate([np.frombuffer(x, np.int64) for x in rows["tokens"]])
-        nodes = np.concatenate([np.frombuffer(x, np.int64) for x in rows["nodes"]])
-        sizes = np.concatenate([np.frombuffer(x, np.int32) for x in rows["sizes"]])
+        tokens, nodes = (np.concatenate([np.frombuffer(x, np.int64) for x in rows[c]]) for c in ("tokens", "nodes"))
         order = np.lexsort((nodes, tokens))
-        tokens, nodes, sizes = tokens[order], nodes[order], sizes[order]
+        tokens, nodes = tokens[order], nodes[order]
         new = np.append(True, (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1]))
-        tokens, nodes, sizes = tokens[new], nodes[new], sizes[new]
+        tokens, nodes = tokens[new], nodes[new]
         same = tokens[1:] == tokens[:-1]
         keep = np.append(same, False) | np.append(False, same)
-        return pd.DataFrame({"token": tokens[keep], "node": nodes[keep], "n": sizes[keep].astype(np.int64)})
+        return pd.DataFrame({"token": tokens[keep], "node": nodes[keep]})
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     some = sketched.where("n > 0")
-    light = some.select("n", "node", "light").mapInArrow(gather, "bucket int, tokens binary, nodes binary, sizes binary")
-    light = light.groupBy("bucket").applyInPandas(several, "token long, node long, n long")
-    late = some.select("node", "n", F.explode("heavy").alias("token"))
-    late = late.select("token", "node", "n").distinct()
-    return materialize(light.unionByName(late), "shingle-tokens")
+    light = some.select("node", "light").mapInArrow(gather, "bucket int, tokens binary, nodes binary")
+    light = light.groupBy("bucket").applyInPandas(several, "token long, node long")
+    late = some.select("node", F.explode("heavy").alias("token")).select("token", "node").distinct()
+    described = nodes.select("node", "n", "late", "b0", "b1")
+    return materialize(light.unionByName(late).join(described, "node"), "shingle-tokens")
 
 
 def _left_out(n: str) -> str:
@@ -254,33 +255,59 @@ def _possible(pairs: DataFrame) -> DataFrame:
     return pairs.where(f"5 * least(na, nb) >= 4 * greatest(na, nb) and c >= {_needed('na', 'nb')}")
 
 
+def _near_bits(na: str, nb: str, a: str, b: str) -> str:
+    """Whether the bitmaps of two sets leave room for enough overlap."""
+    differ = f"bit_count({a}0 ^ {b}0) + bit_count({a}1 ^ {b}1)"
+    return f"2 * ((4 * ({na} + {nb}) + 8) div 9) <= {na} + {nb} - ({differ})"
+
+
 def centre_pairs(tokens: DataFrame) -> DataFrame:
-    """``a, na, b, nb``: nodes and centres that can be similar."""
-    centre = tokens.groupBy("token").agg(F.min(F.struct("node", "n")).alias("m")).select("token", F.col("m.node").alias("b"), F.col("m.n").alias("nb"))
-    met = tokens.join(centre, "token").where("node <> b and 5 * least(n, nb) >= 4 * greatest(n, nb)")
+    """``a, na, b, nb``: nodes and centres that can be similar.
+
+    Of the nodes of a token, the centre is the one with the most heavy tokens:
+    in a group of near copies that which the others were made from.
+    """
+    best = F.max(F.struct("late", "node", "n", "b0", "b1")).alias("m")
+    centre = tokens.groupBy("token").agg(best).select(
+        "token", F.col("m.node").alias("b"), F.col("m.n").alias("nb"), F.col("m.b0").alias("y0"), F.col("m.b1").alias("y1")
+    )
+    fits = f"node <> b and 5 * least(n, nb) >= 4 * greatest(n, nb) and {_near_bits('n', 'nb', 'b', 'y')}"
+    met = tokens.join(centre, "token").where(fits)
     counted = met.groupBy(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb").agg(F.count("*").alias("c"))
     return _possible(counted).select("a", "na", "b", "nb")
 
 
 def group_pairs(tokens: DataFrame, roots: DataFrame) -> DataFrame:
-    """``a, na, b, nb``: pairs of different groups that can be similar, through the token-group matrix."""
-    label = roots.select("node", F.col("root").alias("g"))
-    grouped = tokens.join(label, "node", "left").withColumn("g", F.coalesce("g", "node"))
-    grouped = materialize(grouped, "shingle-groups")
-    matrix = grouped.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    """``a, na, b, nb``: pairs of different groups that can be similar, through the token-group matrix.
+
+    A group of one node is its own row of the matrix; with its bitmap, and with
+    the count of common tokens, the pair is judged at once. Groups of several
+    are opened if their union leaves them possible. Each pair of groups is met
+    from one side: a node asks groups above its own, and groups of several.
+    """
+    label = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root")).distinct()
+    grouped = tokens.join(label, "node", "left").withColumn("many", F.col("root").isNotNull()).withColumn("g", F.coalesce("root", "node"))
+    grouped = materialize(grouped.select("token", "node", "n", "b0", "b1", "g", "many"), "shingle-groups")
+    matrix = grouped.groupBy("token", F.col("g").alias("other"), F.col("many").alias("many_other")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("b0").alias("y0"), F.min("b1").alias("y1")
+    )
     wide = materialize(matrix, "shingle-matrix")
     several = wide.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    wide = wide.join(several, "token", "left_semi").withColumnRenamed("g", "other")
-    # a query meets each group that holds one of its tokens, as long as a member's size can fit
-    met = grouped.join(wide, "token").where("g <> other and 5 * most >= 4 * n and 4 * least <= 5 * n")
-    bound = met.groupBy("node", "n", "other").agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
-    bound = bound.withColumn("low", F.expr("greatest(least, (4 * n + 4) div 5)")).withColumn("high", F.expr("least(most, (5 * n) div 4)"))
-    opened = bound.where(f"low <= high and c >= greatest(1, least({_needed('n', 'low')}, {_needed('n', 'high')}) - 1)")
-    opened = materialize(opened.select("node", "other"), "shingle-opened")
-    queries = grouped.join(opened, "node").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("other").alias("g"))
-    members = grouped.select("token", "g", F.col("node").alias("b"), F.col("n").alias("nb"))
-    pairs = queries.join(members, ["token", "g"]).where("a < b and 5 * least(na, nb) >= 4 * greatest(na, nb)")
-    return _possible(pairs.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c"))).select("a", "na", "b", "nb")
+    wide = wide.join(several, "token", "left_semi")
+    fits = "g <> other and 5 * most >= 4 * n and 4 * least <= 5 * n"
+    once = f"case when many_other then not many or g < other else not many and g < other and {_near_bits('n', 'least', 'b', 'y')} end"
+    met = grouped.join(wide, "token").where(fits).where(once)
+    bound = met.groupBy("node", "n", "other", "many_other").agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+    bound = materialize(bound.where("many_other or c >= " + _needed("n", "least")), "shingle-bounds")
+    alone = bound.where("not many_other").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("other").alias("b"), F.col("least").alias("nb"))
+    reach = bound.where("many_other").withColumn("low", F.expr("greatest(least, (4 * n + 4) div 5)")).withColumn("high", F.expr("least(most, (5 * n) div 4)"))
+    opened = reach.where(f"low <= high and c >= greatest(1, least({_needed('n', 'low')}, {_needed('n', 'high')}) - 1)")
+    opened = materialize(opened.select("node", F.col("other").alias("g")), "shingle-opened")
+    queries = grouped.drop("g").join(opened, "node").select("token", F.col("node").alias("a"), F.col("n").alias("na"), "b0", "b1", "g")
+    members = grouped.where("many").select("token", "g", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("b0").alias("y0"), F.col("b1").alias("y1"))
+    pairs = queries.join(members, ["token", "g"]).where(f"5 * least(na, nb) >= 4 * greatest(na, nb) and {_near_bits('na', 'nb', 'b', 'y')}")
+    inside = _possible(pairs.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")))
+    return alone.union(inside.select("a", "na", "b", "nb"))
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -343,9 +370,11 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id``, ``row`` (hash of id and text), ``root`` (key of its component)."""
     sketched = sketches(docs)
-    nodes = sketched.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"))
+    same = [F.max(c).alias(c) for c in ("n", "b0", "b1")]  # of equal sets
+    late = F.max(F.size("heavy")).alias("late")
+    nodes = sketched.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), late, *same)
     nodes = materialize(nodes, "shingle-nodes")
-    tokens = shared_tokens(sketched)
+    tokens = shared_tokens(sketched, nodes)
     around = verified(docs, nodes.select("node", "row"), centre_pairs(tokens))
     roots = materialize(components(around), "shingle-roots")
     across = verified(docs, nodes.select("node", "row"), group_pairs(tokens, roots))

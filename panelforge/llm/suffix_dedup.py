@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import materialize, table, text_batches
+from panelforge.llm.hashing import BASE, Hashes, mixed
 from panelforge.llm.suffix_groups import row_order
 
 #: Fixed by the contract: bytes of a repeated string.
@@ -59,46 +60,9 @@ MARK_BITS = 26
 #: Blocks that a side of the surroundings is cut into; each gets one name.
 BLOCKS = 5
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _AT = np.uint64((1 << 24) - 1)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    return x * np.uint64(0xD6E8FEB86659FD93)
-
-
-class Hashes:
-    """Hashes of any stretches of a text by prefix sums; powers are kept between texts."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def of(self, data: np.ndarray) -> np.ndarray:
-        n = len(data)
-        if len(self.up) <= n:
-            size = 2 * n + 1024
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                powers = np.full(size, base, np.uint64)
-                powers[0] = 1
-                setattr(self, name, np.cumprod(powers))
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=sums[1:])
-        return sums
-
-    def stretch(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
-
-    def windows(self, sums: np.ndarray, width: int) -> np.ndarray:
-        """Of every stretch of ``width``."""
-        n = len(sums) - width
-        return mixed((sums[width:] - sums[:n]) * self.down[:n])
-
-
 def anchors(windows: np.ndarray, span: int) -> np.ndarray:
     """Places that hold the leftmost smallest of some ``span`` windows in a row. At most 2 ** 24 windows at a time."""
     places = []
@@ -228,7 +192,7 @@ def judged_anchors(packed: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _occurrence(th: np.ndarray | int, pos: np.ndarray) -> np.ndarray:
-    return mixed(np.asarray(th, np.int64).view(np.uint64) * _BASE + pos.astype(np.uint64))
+    return mixed(np.asarray(th, np.int64).view(np.uint64) * BASE + pos.astype(np.uint64))
 
 
 def _marks(found: DataFrame, of_anchor: bool) -> np.ndarray:

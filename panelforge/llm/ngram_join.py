@@ -113,11 +113,16 @@ def first_tokens(tokens: np.ndarray, heavy: np.ndarray | None = None) -> tuple[n
     return light, tokens[is_heavy][: count - len(light)]
 
 
-def parity(tokens: np.ndarray) -> tuple[int, int]:
-    """128 bits: whether an odd number of tokens falls on each. Bits in which two sets differ bound their difference."""
-    odd = (np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=128) & 1).astype(np.uint8)
-    first, second = np.packbits(odd).view(np.int64).tolist()
-    return first, second
+#: Columns of a set's bitmap, 64 bits each.
+BITS = ("b0", "b1", "b2", "b3")
+#: The same of the other set of a pair.
+OTHER = ("y0", "y1", "y2", "y3")
+
+
+def parity(tokens: np.ndarray) -> list[int]:
+    """256 bits: whether an odd number of tokens falls on each. Bits in which two sets differ bound their difference."""
+    odd = (np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
 
 
 def _buckets(spark: SparkSession) -> int:
@@ -178,7 +183,7 @@ def heavy_tokens(docs: DataFrame) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per row ``doc_id, row, n, node, b0, b1, light, heavy``: set size, hash and bitmap of the set, first tokens."""
+    """Per row ``doc_id, row, n, node, b0 … b3, light, heavy``: set size, hash and bitmap of the set, first tokens."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(heavy_tokens(docs))
 
@@ -191,16 +196,16 @@ def sketches(docs: DataFrame) -> DataFrame:
                 light, late = first_tokens(tokens, heavy)
                 node = int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
                 out.append((len(tokens), node, *parity(tokens), light.tobytes(), late.view(np.int64)))
-            kinds = (*[pa.int64()] * 4, pa.binary(), pa.list_(pa.int64()))
+            kinds = (*[pa.int64()] * 6, pa.binary(), pa.list_(pa.int64()))
             columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "row", "n", "node", "b0", "b1", "light", "heavy"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "row", "n", "node", *BITS, "light", "heavy"])
 
-    sketched = _rows(docs).mapInArrow(sketch, "doc_id long, row long, n long, node long, b0 long, b1 long, light binary, heavy array<long>")
+    sketched = _rows(docs).mapInArrow(sketch, "doc_id long, row long, n long, node long, b0 long, b1 long, b2 long, b3 long, light binary, heavy array<long>")
     return materialize(sketched, "shingle-sketches")
 
 
 def shared_tokens(sketched: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``token, node, n, late, b0, b1`` for the first tokens that several nodes hold."""
+    """``token, node, n, late, b0 … b3`` for the first tokens that several nodes hold."""
     spark = sketched.sparkSession
     buckets = _buckets(spark)
 
@@ -235,7 +240,7 @@ def shared_tokens(sketched: DataFrame, nodes: DataFrame) -> DataFrame:
     light = some.select("node", "light").mapInArrow(gather, "bucket int, tokens binary, nodes binary")
     light = light.groupBy("bucket").applyInPandas(several, "token long, node long")
     late = some.select("node", F.explode("heavy").alias("token")).select("token", "node").distinct()
-    described = nodes.select("node", "n", "late", "b0", "b1")
+    described = nodes.select("node", "n", "late", *BITS)
     return materialize(light.unionByName(late).join(described, "node"), "shingle-tokens")
 
 
@@ -255,23 +260,24 @@ def _possible(pairs: DataFrame) -> DataFrame:
     return pairs.where(f"5 * least(na, nb) >= 4 * greatest(na, nb) and c >= {_needed('na', 'nb')}")
 
 
-def _near_bits(na: str, nb: str, a: str, b: str) -> str:
+def _near_bits(na: str, nb: str) -> str:
     """Whether the bitmaps of two sets leave room for enough overlap."""
-    differ = f"bit_count({a}0 ^ {b}0) + bit_count({a}1 ^ {b}1)"
+    differ = " + ".join(f"bit_count({a} ^ {b})" for a, b in zip(BITS, OTHER, strict=True))
     return f"2 * ((4 * ({na} + {nb}) + 8) div 9) <= {na} + {nb} - ({differ})"
 
 
 def centre_pairs(tokens: DataFrame) -> DataFrame:
     """``a, na, b, nb``: nodes and centres that can be similar.
 
-    Of the nodes of a token, the centre is the one with the most heavy tokens:
-    in a group of near copies that which the others were made from.
+    Each token has up to three centres among its nodes: the one with the most
+    heavy tokens (in a group of near copies that which the others were made
+    from) and two by hash.
     """
-    best = F.max(F.struct("late", "node", "n", "b0", "b1")).alias("m")
-    centre = tokens.groupBy("token").agg(best).select(
-        "token", F.col("m.node").alias("b"), F.col("m.n").alias("nb"), F.col("m.b0").alias("y0"), F.col("m.b1").alias("y1")
-    )
-    fits = f"node <> b and 5 * least(n, nb) >= 4 * greatest(n, nb) and {_near_bits('n', 'nb', 'b', 'y')}"
+    node = F.struct(F.col("node").alias("b"), F.col("n").alias("nb"), *[F.col(b).alias(y) for b, y in zip(BITS, OTHER, strict=True)])
+    ranks = ("late", F.xxhash64("node", F.lit(1)), F.xxhash64("node", F.lit(2)))
+    best = [F.max_by(node, rank).alias(f"m{k}") for k, rank in enumerate(ranks)]
+    centre = tokens.groupBy("token").agg(*best).select("token", F.inline(F.array_distinct(F.array("m0", "m1", "m2"))))
+    fits = f"node <> b and 5 * least(n, nb) >= 4 * greatest(n, nb) and {_near_bits('n', 'nb')}"
     met = tokens.join(centre, "token").where(fits)
     counted = met.groupBy(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb").agg(F.count("*").alias("c"))
     return _possible(counted).select("a", "na", "b", "nb")
@@ -287,15 +293,15 @@ def group_pairs(tokens: DataFrame, roots: DataFrame) -> DataFrame:
     """
     label = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root")).distinct()
     grouped = tokens.join(label, "node", "left").withColumn("many", F.col("root").isNotNull()).withColumn("g", F.coalesce("root", "node"))
-    grouped = materialize(grouped.select("token", "node", "n", "b0", "b1", "g", "many"), "shingle-groups")
+    grouped = materialize(grouped.select("token", "node", "n", *BITS, "g", "many"), "shingle-groups")
     matrix = grouped.groupBy("token", F.col("g").alias("other"), F.col("many").alias("many_other")).agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.min("b0").alias("y0"), F.min("b1").alias("y1")
+        F.min("n").alias("least"), F.max("n").alias("most"), *[F.min(b).alias(y) for b, y in zip(BITS, OTHER, strict=True)]
     )
     wide = materialize(matrix, "shingle-matrix")
     several = wide.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     wide = wide.join(several, "token", "left_semi")
     fits = "g <> other and 5 * most >= 4 * n and 4 * least <= 5 * n"
-    once = f"case when many_other then not many or g < other else not many and g < other and {_near_bits('n', 'least', 'b', 'y')} end"
+    once = f"case when many_other then not many or g < other else not many and g < other and {_near_bits('n', 'least')} end"
     met = grouped.join(wide, "token").where(fits).where(once)
     bound = met.groupBy("node", "n", "other", "many_other").agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
     bound = materialize(bound.where("many_other or c >= " + _needed("n", "least")), "shingle-bounds")
@@ -303,9 +309,10 @@ def group_pairs(tokens: DataFrame, roots: DataFrame) -> DataFrame:
     reach = bound.where("many_other").withColumn("low", F.expr("greatest(least, (4 * n + 4) div 5)")).withColumn("high", F.expr("least(most, (5 * n) div 4)"))
     opened = reach.where(f"low <= high and c >= greatest(1, least({_needed('n', 'low')}, {_needed('n', 'high')}) - 1)")
     opened = materialize(opened.select("node", F.col("other").alias("g")), "shingle-opened")
-    queries = grouped.drop("g").join(opened, "node").select("token", F.col("node").alias("a"), F.col("n").alias("na"), "b0", "b1", "g")
-    members = grouped.where("many").select("token", "g", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("b0").alias("y0"), F.col("b1").alias("y1"))
-    pairs = queries.join(members, ["token", "g"]).where(f"5 * least(na, nb) >= 4 * greatest(na, nb) and {_near_bits('na', 'nb', 'b', 'y')}")
+    queries = grouped.drop("g").join(opened, "node").select("token", F.col("node").alias("a"), F.col("n").alias("na"), *BITS, "g")
+    bits = [F.col(b).alias(y) for b, y in zip(BITS, OTHER, strict=True)]
+    members = grouped.where("many").select("token", "g", F.col("node").alias("b"), F.col("n").alias("nb"), *bits)
+    pairs = queries.join(members, ["token", "g"]).where(f"5 * least(na, nb) >= 4 * greatest(na, nb) and {_near_bits('na', 'nb')}")
     inside = _possible(pairs.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")))
     return alone.union(inside.select("a", "na", "b", "nb"))
 
@@ -370,7 +377,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id``, ``row`` (hash of id and text), ``root`` (key of its component)."""
     sketched = sketches(docs)
-    same = [F.max(c).alias(c) for c in ("n", "b0", "b1")]  # of equal sets
+    same = [F.max(c).alias(c) for c in ("n", *BITS)]  # of equal sets
     late = F.max(F.size("heavy")).alias("late")
     nodes = sketched.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), late, *same)
     nodes = materialize(nodes, "shingle-nodes")

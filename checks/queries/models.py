@@ -185,7 +185,7 @@ def _forecaster(name, label, make):
 
 
 _forecaster("gbt_forecaster", "GBT", forecast.gbt(GBT_SMALL))
-_forecaster("rf_forecaster", "RandomForest", forecast.random_forest(20, 5))
+_forecaster("rf_forecaster", "RandomForest", forecast.random_forest())
 _forecaster("ridge_forecaster", "Ridge", forecast.ridge())
 _forecaster(
     "xgb_forecaster", "XGB", forecast.gbt({"maxIter": 10, "maxDepth": 4, "minInstancesPerNode": 1, "featureFraction": 0.8})

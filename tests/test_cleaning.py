@@ -82,3 +82,15 @@ def test_fit_on_train_ignores_later_rows(spark, panel):
     changed = panel.withColumn("x1", F.when(F.month("ds") > 6, 1e9).otherwise(F.col("x1")))
     _, b = cleaning.clean_panel(changed, fit_on=changed.filter(F.month("ds") <= 6))
     assert a.scales == b.scales and a.clip == b.clip
+
+
+def test_any_number_of_categories_is_encoded(spark):
+    df = spark.range(2100).select(F.format_string("c%04d", "id").alias("cat"), F.col("id").alias("n"))
+    encoded = cleaning.one_hot(df, ["cat"])
+    assert len(encoded.columns) == 2101
+    assert encoded.filter("n = 2099").select("cat__c2099", "cat__c0000").first()[:] == (1, 0)
+
+
+def test_threshold_zero_keeps_all_but_nulls(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "x string")
+    assert sorted(r["x"] for r in cleaning.rare_category_group(df, ["x"], 0.0).collect()) == ["a", "b", "other"]

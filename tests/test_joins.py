@@ -124,3 +124,13 @@ def test_order_grain_counts_money_once(spark):
     master = order_grain_master(tables)
     assert master.count() == tables["orders"].count()
     assert abs(master.agg(F.sum("payment_sum")).first()[0] - total) < 1e-9
+
+
+def test_more_hot_keys_than_any_fixed_list(spark):
+    parent = spark.range(600).select(F.col("id").alias("k"))
+    child = spark.range(2400).select((F.col("id") % 600).alias("k"), F.col("id").alias("v"))
+    other = spark.range(1200).select((F.col("id") % 600).alias("k"), F.col("id").alias("w"))
+    assert hot_keys([child, other], "k", 2).count() == 600
+    cut = left_join_children(parent, [child, other], "k", rows_per_slice=2)
+    plain = parent.join(child, "k", "left").join(other, "k", "left")
+    assert bag(cut, ["k", "v", "w"]) == bag(plain, ["k", "v", "w"])

@@ -42,5 +42,13 @@ def test_refresh_appends_and_boosts(spark, plan):
     metrics = plan.incremental_refresh(arrived, extra_trees=3).collect()
     assert plan.panel.count() == n + 1 and plan.forecaster.n_trees(1) == before + 3
     assert len(metrics) == 1 and metrics[0]["model"] == "GBT_incremental"
+    # a second refresh and a reload keep the first one's month
+    later = arrived.withColumn("ds", F.add_months("ds", 1).cast("date"))
+    plan.incremental_refresh(later, extra_trees=2).collect()
+    months = {r["ds"] for r in plan.panel.select("ds").collect()}
+    assert {r["ds"] for r in arrived.unionByName(later).collect()} <= months and len(months) == n + 2
+    again = load_plan(spark, plan.path, plan.settings)
+    assert {r["ds"] for r in again.panel.select("ds").collect()} == months
+    assert again.cleaned.count() == plan.cleaned.count()
     with pytest.raises(RuntimeError):
         TrainPlan(spark).incremental_refresh(arrived)

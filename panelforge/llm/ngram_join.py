@@ -309,12 +309,58 @@ def group_pairs(tokens: DataFrame, roots: DataFrame) -> DataFrame:
     reach = bound.where("many_other").withColumn("low", F.expr("greatest(least, (4 * n + 4) div 5)")).withColumn("high", F.expr("least(most, (5 * n) div 4)"))
     opened = reach.where(f"low <= high and c >= greatest(1, least({_needed('n', 'low')}, {_needed('n', 'high')}) - 1)")
     opened = materialize(opened.select("node", F.col("other").alias("g")), "shingle-opened")
-    queries = grouped.drop("g").join(opened, "node").select("token", F.col("node").alias("a"), F.col("n").alias("na"), *BITS, "g")
-    bits = [F.col(b).alias(y) for b, y in zip(BITS, OTHER, strict=True)]
-    members = grouped.where("many").select("token", "g", F.col("node").alias("b"), F.col("n").alias("nb"), *bits)
-    pairs = queries.join(members, ["token", "g"]).where(f"5 * least(na, nb) >= 4 * greatest(na, nb) and {_near_bits('na', 'nb')}")
-    inside = _possible(pairs.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")))
-    return alone.union(inside.select("a", "na", "b", "nb"))
+    return alone.union(_opened_pairs(grouped, opened))
+
+
+#: Members of a group and queries that meet in one task.
+BLOCK_MEMBERS = 256
+BLOCK_QUERIES = 2_048
+
+
+def _opened_pairs(grouped: DataFrame, opened: DataFrame) -> DataFrame:
+    """Pairs of queries and members of the groups opened for them, in blocks of both.
+
+    A block counts the common first tokens of a query with all its members at
+    once, so no row is made per common token; only pairs whose bounds hold leave it.
+    """
+    packed = F.collect_list("token").alias("tokens")
+    own = ["node", "n", *BITS]
+    groups = opened.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("slices"))
+    members = grouped.where("many").join(groups, "g").groupBy("g", "slices", *own).agg(packed)
+    parts = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("parts"))
+    parts = materialize(parts.join(groups, "g"), "shingle-blocks")
+    asked = grouped.drop("g", "many").join(opened, "node").groupBy("g", *own).agg(packed)
+    every = [F.col(c).alias(c) for c in (*own, "tokens")]  # both sides come from one table
+    members = members.drop("slices").join(parts, "g").select(
+        F.col("g").alias("g"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), *every
+    )
+    asked = asked.join(parts, "g").select(
+        "g", F.pmod(F.xxhash64("node"), "slices").cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *every
+    )
+    key = ["g", "part", "slice"]
+    return members.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_met_members, "a long, na long, b long, nb long")
+
+
+def _met_members(members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    found = []
+    if len(members) and len(asked):
+        lists = [np.asarray(x, np.int64) for x in members["tokens"]]
+        union, at = np.unique(np.concatenate(lists), return_inverse=True)
+        held = np.zeros((len(union), len(lists)), np.uint8)
+        held[at, np.repeat(np.arange(len(lists)), [len(x) for x in lists])] = 1
+        node, nb = members["node"].to_numpy(), members["n"].to_numpy()
+        bits = np.ascontiguousarray(members[list(BITS)].to_numpy(np.int64))
+        left = np.maximum(0, (4 * nb + 4) // 5 - EXTRA)
+        for a, na, *own, tokens in asked[["node", "n", *BITS, "tokens"]].itertuples(index=False):
+            tokens = np.asarray(tokens, np.int64)
+            slot = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+            common = held[slot[union[slot] == tokens]].sum(axis=0, dtype=np.int64)
+            differ = np.unpackbits((bits ^ np.array(own, np.int64)).view(np.uint8), axis=1).sum(axis=1, dtype=np.int64)
+            overlap = (4 * (na + nb) + 8) // 9
+            needed = np.maximum(1, overlap - np.maximum(left, max(0, (4 * na + 4) // 5 - EXTRA)))
+            fits = (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)) & (2 * overlap <= na + nb - differ) & (common >= needed)
+            found.append(pd.DataFrame({"a": a, "na": na, "b": node[fits], "nb": nb[fits]}))
+    return pd.concat(found) if found else pd.DataFrame({c: np.empty(0, np.int64) for c in ("a", "na", "b", "nb")})
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:

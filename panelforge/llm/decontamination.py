@@ -41,7 +41,8 @@ BITMAP_BITS = 18
 #: The benchmark's seeds are broadcast up to this number (some 300 bytes each), and joined by shuffle beyond.
 BROADCAST_SEEDS = 100_000
 
-_SPAN = 1 + max(mask[-1] for mask in MASKS)
+#: Words under the shorter mask; windows that hold as many from a hit on are summed.
+_SHORTEST = 1 + min(mask[-1] for mask in MASKS)
 #: Places around a hit that windows can reach.
 _REACH = range(-(WINDOW - 1), WINDOW)
 
@@ -70,8 +71,7 @@ def _seeds(h: Column, i: Column) -> list[Column]:
 
 
 def _starts(h: Column) -> Column:
-    shortest = 1 + min(mask[-1] for mask in MASKS)
-    return F.when(F.size(h) >= shortest, F.sequence(F.lit(0), F.size(h) - shortest)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(h) >= _SHORTEST, F.sequence(F.lit(0), F.size(h) - _SHORTEST)).otherwise(F.array().cast("array<int>"))
 
 
 def _around(h: Column, i: Column) -> Column:
@@ -135,7 +135,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: flo
     met = probes.join(seeds, "seed")
     equal = F.zip_with("doc_around", "around", lambda a, b: F.when(a == b, 1).otherwise(0))
     sums = [
-        F.aggregate(F.slice("equal", s, window), F.lit(0), lambda a, x: a + x) for s in range(_SPAN, window + 1)
+        F.aggregate(F.slice("equal", s, window), F.lit(0), lambda a, x: a + x) for s in range(_SHORTEST, window + 1)
     ]
     matched = met.withColumn("equal", F.explode(F.array(equal))).withColumn("matched", F.greatest(*sums))
     least = F.ceil(F.least(F.lit(window), F.col("n_words")) * F.lit(share))

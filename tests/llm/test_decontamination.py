@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -61,3 +62,22 @@ def test_odd_documents(spark, odd, odd_rows, none):
     assert contaminated(odd, empty).count() == 0
     assert clean_documents(odd, empty).count() == len(odd_rows)
     assert contaminated(none, bench).count() == 0
+
+
+def placements(lengths, least):
+    """Items of words of their own, and a document for every set of so many substituted words."""
+    items, docs = [], []
+    for n in lengths:
+        items.append((n, " ".join(f"n{n}w{k}" for k in range(n))))
+        for count in range(n - least(n) + 1):
+            for places in itertools.combinations(range(n), count):
+                passage = [f"x{k}" if k in places else w for k, w in enumerate(items[-1][1].split())]
+                docs.append((len(docs), " ".join(["before", "it", *passage, "after", "it"]), n))
+    return items, docs
+
+
+def test_every_placement_of_two_substitutions_is_found(spark):
+    items, docs = placements([13, 14], lambda n: n - 2)
+    frame = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d, n) for d, _, n in docs}

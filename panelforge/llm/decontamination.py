@@ -8,14 +8,18 @@ these are joined, each with the short run of word hashes around it, and a hit
 stands if enough words agree, place by place, in a window over it.
 
 With these masks, every 13 words of which at most two are substituted share at
-least one seed with the original.
+least one seed with the original. Items of 7 to 12 words have masks of their own
+length besides: their places are dealt to four sets, and each mask leaves out as
+many sets as words may differ, so every allowed substitution shares a seed. Shorter
+items have one mask of all their words. A document is searched for these at every
+place, but only for lengths that the benchmark has.
 
 Defined results:
 
 * words are runs of letters and digits, in lower case; null and empty texts have none;
 * benchmark items of equal words count once, under their smallest ``item_id``;
-* items shorter than the shorter mask (7 words) cannot be told from common
-  speech and take no part; items shorter than the window must agree as a whole;
+* items shorter than the window must agree as a whole, with the share of equal
+  words; those of less than 7 words must be met word by word;
 * a row that repeats a document is found like the first; null ids are kept;
 * an empty benchmark or an empty table gives no hits;
 * only ``doc_id``, ``text`` and ``item_id`` are read, so other columns may have any name.
@@ -23,6 +27,9 @@ Defined results:
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +42,9 @@ MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 7, 8))
 WINDOW = 13
 LEAST_SHARE = 0.8
 
+#: Items of fewer words must be met word by word.
+LEAST_INEXACT = 7
+
 #: Bits of the two bitmaps; their size is fixed, whatever the size of the benchmark.
 BITMAP_BITS = 18
 
@@ -47,6 +57,17 @@ _SHORTEST = 1 + min(mask[-1] for mask in MASKS)
 _REACH = range(-(WINDOW - 1), WINDOW)
 
 
+def least_equal(n: int) -> int:
+    """Words of an item of ``n`` that must agree."""
+    return n if n < LEAST_INEXACT else math.ceil(min(WINDOW, n) * LEAST_SHARE)
+
+
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks for items of ``n`` words, fewer than the window: any allowed substitution leaves one untouched."""
+    left_out = itertools.combinations(range(4), n - least_equal(n))
+    return [tuple(k for k in range(n) if k % 4 not in sets) for sets in left_out]
+
+
 def word_hashes(text: Column) -> Column:
     plain = F.btrim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " "))
     words = F.when(F.length(plain) > 0, F.split(plain, " ")).otherwise(F.array().cast("array<string>"))
@@ -74,6 +95,23 @@ def _starts(h: Column) -> Column:
     return F.when(F.size(h) >= _SHORTEST, F.sequence(F.lit(0), F.size(h) - _SHORTEST)).otherwise(F.array().cast("array<int>"))
 
 
+def _short_seeds(h: Column, i: Column, n: int) -> list[Column]:
+    """One per mask of items of ``n`` words; ``i`` may lie before the start, null where the mask passes an end."""
+    return [
+        F.when(
+            (i + F.lit(mask[0]) >= 0) & (i + F.lit(mask[-1]) < F.size(h)),
+            F.xxhash64(F.lit(f"{n}:{m}"), *[_at(h, i, k) for k in mask]),
+        )
+        for m, mask in enumerate(short_masks(n))
+    ]
+
+
+def _short_places(h: Column) -> Column:
+    """Places where a short item may begin; its first words may lie before the text."""
+    missing = max(n - least_equal(n) for n in range(1, WINDOW))
+    return F.when(F.size(h) > 0, F.sequence(F.lit(-missing), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def _around(h: Column, i: Column) -> Column:
     """The words that windows over a hit at ``i`` can reach; null beyond the ends."""
     steps = F.array(*[F.lit(k) for k in _REACH])
@@ -111,9 +149,14 @@ def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
     )
     h, i = F.col("h"), F.col("i")
     places = items.select("item_id", "h", F.explode(_starts(h)).alias("i"))
-    return places.select(
+    by_mask = places.select(
         "item_id", F.size(h).alias("n_words"), _start(h, i).alias("start"), _around(h, i).alias("around"), F.explode(F.array(*_seeds(h, i))).alias("seed")
-    ).where("seed is not null")
+    )
+    whole = F.coalesce(*[F.when(F.size(h) == n, F.array(*_short_seeds(h, F.lit(0), n))) for n in range(1, WINDOW)])
+    by_length = items.where(F.size(h).between(1, WINDOW - 1)).select(
+        "item_id", F.size(h).alias("n_words"), F.lit(None).cast("long").alias("start"), _around(h, F.lit(0)).alias("around"), F.explode(whole).alias("seed")
+    )
+    return by_mask.unionByName(by_length).where("seed is not null")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = LEAST_SHARE) -> DataFrame:
@@ -126,6 +169,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: flo
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.array(word_hashes(F.col("text")))).alias("h"))
     near = F.filter(_starts(h), lambda i: _in_bitmap(starts, _start(h, i), BITMAP_BITS))
     seeded = F.flatten(F.transform(near, lambda i: F.array(*[F.struct(i.alias("i"), s.alias("seed")) for s in _seeds(h, i)])))
+    lengths = sorted(row["n_words"] for row in seeds.where(F.col("n_words") < WINDOW).select("n_words").distinct().collect())
+    if lengths:
+        at = lambda i: F.array(*[F.struct(i.alias("i"), s.alias("seed")) for n in lengths for s in _short_seeds(h, i, n)])
+        seeded = F.concat(seeded, F.flatten(F.transform(_short_places(h), at)))
     found = F.filter(seeded, lambda s: _in_bitmap(known, s["seed"], BITMAP_BITS))
     probes = hashed.select("doc_id", "text_hash", "h", F.explode(found).alias("f")).select(
         "doc_id", "text_hash", F.col("f.i").alias("place"), F.col("f.seed").alias("seed"), _around(h, F.col("f.i")).alias("doc_around")
@@ -139,7 +186,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: flo
     ]
     matched = met.withColumn("equal", F.explode(F.array(equal))).withColumn("matched", F.greatest(*sums))
     least = F.ceil(F.least(F.lit(window), F.col("n_words")) * F.lit(share))
-    return matched.where(F.col("matched") >= least).select("doc_id", "text_hash", "item_id", "n_words", "place", "matched")
+    least = F.when(F.col("n_words") < LEAST_INEXACT, F.col("n_words")).otherwise(least)
+    return matched.where(F.col("matched") >= least).select(
+        "doc_id", "text_hash", "item_id", "n_words", F.greatest("place", F.lit(0)).alias("place"), "matched"
+    )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -81,3 +81,22 @@ def test_every_placement_of_two_substitutions_is_found(spark):
     frame = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(d, n) for d, _, n in docs}
+
+
+def test_short_items_are_found_with_every_allowed_substitution(spark):
+    least = lambda n: n if n < 7 else -(-n * 8 // 10)
+    items, docs = placements(range(1, 13), least)
+    want = {(d, n) for d, _, n in docs}
+    for n, text in items:
+        words = text.split()
+        # cut by the ends of a document
+        docs += [(len(docs) + k, " ".join(cut), n) for k, cut in enumerate([words, words[n - least(n) :], words[: least(n)]])]
+        want |= {(d[0], n) for d in docs[-3:]}
+        # one word short of the least; other words between
+        docs += [(len(docs), " ".join(words[: least(n) - 1]), n), (len(docs) + 1, " it ".join(words[:6]), n)]
+        if n == 1:
+            want.add((len(docs) - 1, 1))
+    frame = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    found = contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    assert all(r.first_place >= 0 and r.n_matched >= least(r.item_id) for r in found)

@@ -10,6 +10,7 @@ from panelforge.llm.nearest import op10_nearest
 from panelforge.llm.ngram_join import op6_ngram_join
 from panelforge.llm.quality import op5_quality
 from panelforge.llm.sharding import op4_sharding
+from panelforge.llm.spelling_variants import op12_spelling
 from panelforge.llm.suffix_dedup import op7_suffix_dedup
 from panelforge.llm.token_counts import op2_token_counts
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_mix_sources": op9_mix_sources,
     "op10_nearest": op10_nearest,
+    "op12_spelling": op12_spelling,
 }
 
 _LINE_DEDUP = r"""

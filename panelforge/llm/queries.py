@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from panelforge.llm.decontamination import op8_decontamination
 from panelforge.llm.html_extraction import op1_html_extraction
+from panelforge.llm.license_scan import BAND, BASE, LEAST_SCORE, NOTICES, op13_license_scan
 from panelforge.llm.line_dedup import op3_line_dedup
 from panelforge.llm.mixing import op9_mix_sources
 from panelforge.llm.nearest import op10_nearest
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_nearest": op10_nearest,
     "op12_spelling": op12_spelling,
+    "op13_license_scan": op13_license_scan,
 }
 
 _LINE_DEDUP = r"""
@@ -96,4 +98,39 @@ SELECT w.doc_id, coalesce(sizes.n, 0) AS n_shingles, min(reach.y) AS component_i
 FROM w LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.x = w.doc_id GROUP BY w.doc_id, sizes.n
 """
 
-ORACLE_SQL = {"op3_line_dedup": _LINE_DEDUP, "op6_ngram_join": _NGRAM_JOIN, "op9_mix_sources": _MIX}
+_PLAIN_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+_LICENSES = f"""
+WITH notices(label, base, text) AS (
+  VALUES {", ".join(f"('{label}', {base}, '{text}')" for base, listed in ((True, BASE), (False, NOTICES)) for label, text in listed)}
+), t AS (SELECT row_number() OVER () AS notice, label, base, {_PLAIN_WORDS} AS w FROM notices
+), places AS (
+  SELECT notice, label, base, m, j, w[j] AS a, w[j + 1] AS b FROM (SELECT *, len(w) AS m, unnest(range(1, len(w))) AS j FROM t)
+), d AS (SELECT row_number() OVER () AS rid, doc_id, {_PLAIN_WORDS} AS w FROM documents
+), pairs AS (SELECT rid, i, w[i] AS a, w[i + 1] AS b FROM (SELECT rid, w, unnest(range(1, len(w))) AS i FROM d)
+), agreeing AS (
+  SELECT DISTINCT rid, notice, label, base, m, i - j AS diagonal, unnest([j, j + 1]) AS j FROM pairs JOIN places USING (a, b)
+), own AS (SELECT rid, notice, label, base, m, diagonal, count(*) AS own FROM agreeing GROUP BY ALL
+), merged AS (
+  SELECT own.*, count(DISTINCT g.j) AS of_notice, count(DISTINCT g.diagonal + g.j) AS of_text,
+         max(g.diagonal + g.j) - min(g.diagonal + g.j) + 1 AS span
+  FROM own JOIN agreeing g ON g.rid = own.rid AND g.notice = own.notice AND abs(g.diagonal - own.diagonal) <= {BAND}
+  WHERE 3 * own >= own.m GROUP BY ALL
+), spans AS (
+  SELECT *, greatest(own / m, least(of_notice, of_text) / greatest(m, span)) AS score FROM merged
+), found AS (
+  SELECT rid, count(*) FILTER (base AND own = m) AS n_base, min(diagonal) FILTER (base AND own = m) AS first_word,
+         max(diagonal) FILTER (base AND own = m) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND own = m) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM spans WHERE score >= {LEAST_SCORE} GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN found USING (rid)
+"""
+
+ORACLE_SQL = {"op3_line_dedup": _LINE_DEDUP, "op6_ngram_join": _NGRAM_JOIN, "op9_mix_sources": _MIX, "op13_license_scan": _LICENSES}

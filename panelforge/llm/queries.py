@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from panelforge.llm.cross_tokenizer import op11_cross_tokenizer
 from panelforge.llm.decontamination import op8_decontamination
 from panelforge.llm.html_extraction import op1_html_extraction
 from panelforge.llm.license_scan import BAND, BASE, LEAST_SCORE, NOTICES, op13_license_scan
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_mix_sources": op9_mix_sources,
     "op10_nearest": op10_nearest,
+    "op11_cross_tokenizer": op11_cross_tokenizer,
     "op12_spelling": op12_spelling,
     "op13_license_scan": op13_license_scan,
 }

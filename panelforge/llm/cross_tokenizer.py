@@ -65,8 +65,8 @@ class Files:
         with open(a, "rb") as first, open(b, "rb") as second:
             return cls(first.read(), second.read())
 
-    def aligner(self) -> Aligner:
-        return Aligner(Tokenizers(self.json, self.model))
+    def aligner(self, with_groups: bool = True) -> Aligner:
+        return Aligner(Tokenizers(self.json, self.model), with_groups)
 
 
 def _bucket(pairs: np.ndarray, buckets: int) -> np.ndarray:
@@ -90,7 +90,7 @@ def task_counts(docs: DataFrame, files) -> DataFrame:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        aligner = files.value.aligner()
+        aligner = files.value.aligner(with_groups=False)
         met = np.zeros(0, np.int64)
 
         def flushed() -> pa.RecordBatch:

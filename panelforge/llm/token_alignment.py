@@ -19,9 +19,12 @@ _SEGMENT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 _UNSURE = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\u2060\u2581\ufeff]")
 
 #: Segments kept between texts, and the longest that is kept.
-KEPT_SEGMENTS = 200_000
+KEPT_SEGMENTS = 400_000
 LONGEST_KEPT = 200
 
+#: Segments encoded end to end.
+CHUNK = 256
+
 
 def byte_letters() -> dict[str, int]:
     """The printable letters that a byte-level vocabulary writes for the 256 bytes."""
@@ -66,23 +69,61 @@ class Tokenizers:
             return [text]
         return _SEGMENT.findall(text)
 
-    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of segments by A and by B. B puts a blank before a text, so a letter is set before a segment and its token taken off."""
-        a = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
-        b = self.b.encode(["a" + s for s in segments], num_threads=1)
+    def encode(self, segments: list[str]) -> Encoded:
+        """Ids of segments under both. Segments are encoded end to end, a chunk at a time, as they would be cut again."""
+        kept: list[Encoded] = []
+        apart = [k for k, s in enumerate(segments) if not self.cuts or s[0] not in " \n" or s[-1].isspace() or _UNSURE.search(s[-1])]
+        alone = set(apart)
+        together = [k for k in range(len(segments)) if k not in alone]
+        chunks = [together[k : k + CHUNK] for k in range(0, len(together), CHUNK)]
+        texts = ["".join(map(segments.__getitem__, chunk)) for chunk in chunks]
+        for chunk, text, ids_a, ids_b in zip(chunks, texts, self._ids_a(texts), self._ids_b(texts)):
+            sizes = np.cumsum([len(segments[k].encode()) for k in chunk])
+            ends = [np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])]
+            cut = [np.searchsorted(end, sizes) for end in ends]
+            if self.same_bytes(text, ids_a, ids_b) and all(np.array_equal(end[at], sizes) for end, at in zip(ends, cut)):
+                n_a, n_b = (np.diff(at + 1, prepend=0) for at in cut)
+                kept.append(Encoded(chunk, np.asarray(ids_a), np.asarray(ids_b), n_a, n_b))
+            else:
+                apart += chunk
+        texts = [segments[k] for k in apart]
+        for k, text, ids_a, ids_b in zip(apart, texts, self._ids_a(texts), self._ids_b(texts)):
+            if not self.same_bytes(text, ids_a, ids_b):
+                ids_a = ids_b = []
+            sizes = np.array([len(ids_a)]), np.array([len(ids_b)])
+            kept.append(Encoded([k], np.asarray(ids_a, np.int64), np.asarray(ids_b, np.int64), *sizes))
+        return Encoded.joined(kept)
+
+    def _ids_a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+
+    def _ids_b(self, texts: list[str]) -> list[list[int]]:
+        """B puts a blank before a text, so a letter is set before it and its token taken off."""
         lead = self.lead
-        for k, ids in enumerate(b):
-            if ids[: len(lead)] == lead:
-                b[k] = ids[len(lead) :]
-            else:  # the letter went into a longer token: only a text without a blank in front of it
-                b[k] = self.b.encode(segments[k].removeprefix(" "))
-        return a, b
+        return [ids[len(lead) :] for ids in self.b.encode(["a" + t for t in texts], num_threads=1)]
 
     def same_bytes(self, text: str, a: list[int], b: list[int]) -> bool:
         whole = text.encode()
         return b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole
 
 
+@dataclass
+class Encoded:
+    """Ids of the segments numbered ``places``, end to end, and how many each has; none where the bytes are not the segment's."""
+
+    places: list[int]
+    ids_a: np.ndarray
+    ids_b: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+
+    @classmethod
+    def joined(cls, parts: list[Encoded]) -> Encoded:
+        none = np.zeros(0, np.int64)
+        columns = (np.concatenate([none, *[getattr(p, c) for p in parts]]) for c in ("ids_a", "ids_b", "n_a", "n_b"))
+        return cls([k for p in parts for k in p.places], *columns)
+
+
 @dataclass
 class Aligned:
     """Segments with their token counts, groups as text, and links (flat, cut by ``starts``)."""
@@ -95,12 +136,9 @@ class Aligned:
     starts: np.ndarray
 
 
-def align(tokenizers: Tokenizers, encoded: list[tuple[list[int], list[int]]]) -> Aligned:
+def align(tokenizers: Tokenizers, encoded: Encoded, with_groups: bool = True) -> Aligned:
     """Aligns segments whose tokens join to the same bytes on both sides; all at once, end to end on one line of bytes."""
-    n_a = np.array([len(a) for a, _ in encoded], np.int64)
-    n_b = np.array([len(b) for _, b in encoded], np.int64)
-    ids_a = np.fromiter((i for a, _ in encoded for i in a), np.int64, int(n_a.sum()))
-    ids_b = np.fromiter((i for _, b in encoded for i in b), np.int64, int(n_b.sum()))
+    ids_a, ids_b, n_a, n_b = encoded.ids_a, encoded.ids_b, encoded.n_a, encoded.n_b
     end_a, end_b = np.cumsum(tokenizers.length_a[ids_a]), np.cumsum(tokenizers.length_b[ids_b])
     start_a, start_b = end_a - tokenizers.length_a[ids_a], end_b - tokenizers.length_b[ids_b]
     # links: the tokens of B from the one that holds A's first byte to the one that holds its last
@@ -109,14 +147,14 @@ def align(tokenizers: Tokenizers, encoded: list[tuple[list[int], list[int]]]) ->
     a = np.repeat(np.arange(len(ids_a)), links)
     b = np.arange(len(a)) - np.repeat(np.cumsum(links) - links, links) + np.repeat(first, links)
     pairs = ids_a[a] * len(tokenizers.bytes_b) + ids_b[b]
-    segment_a = np.repeat(np.arange(len(encoded)), n_a)
-    of_segment = np.bincount(segment_a, links, len(encoded)).astype(np.int64) if len(encoded) else np.zeros(0, np.int64)
+    segment_a = np.repeat(np.arange(len(n_a)), n_a)
+    of_segment = np.bincount(segment_a, links, len(n_a)).astype(np.int64)
     # groups end where tokens of both end
     closes_a, closes_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
-    n_groups = np.bincount(segment_a, closes_a, len(encoded)).astype(np.int64) if len(encoded) else np.zeros(0, np.int64)
-    side_a, side_b = _joined(ids_a, closes_a), _joined(ids_b, closes_b)
+    n_groups = np.bincount(segment_a, closes_a, len(n_a)).astype(np.int64)
     groups, at = [], 0
-    for n in n_groups.tolist():
+    side_a, side_b = (_joined(ids_a, closes_a), _joined(ids_b, closes_b)) if with_groups else ([], [])
+    for n in n_groups.tolist() if with_groups else ():
         groups.append(";".join(map("|".join, zip(side_a[at : at + n], side_b[at : at + n]))))
         at += n
     return Aligned(n_a, n_b, n_groups, groups, pairs, np.r_[0, np.cumsum(of_segment)])
@@ -132,8 +170,9 @@ def _joined(ids: np.ndarray, closes: np.ndarray) -> list[str]:
 class Aligner:
     """Aligns texts; every segment is encoded and aligned once while it is kept."""
 
-    def __init__(self, tokenizers: Tokenizers):
+    def __init__(self, tokenizers: Tokenizers, with_groups: bool = True):
         self.tokenizers = tokenizers
+        self.with_groups = with_groups
         self.cleared = 0
         self.clear()
 
@@ -147,16 +186,16 @@ class Aligner:
         self.size = 0
 
     def is_full(self) -> bool:
-        return len(self.groups) > KEPT_SEGMENTS
+        return self.size > KEPT_SEGMENTS
 
     def _add(self, fresh: list[str]) -> list[int]:
-        encoded = list(zip(*self.tokenizers.encode(fresh)))
-        numbers = list(range(self.size, self.size + len(fresh)))
-        for k, (segment, (a, b)) in enumerate(zip(fresh, encoded)):
-            if not self.tokenizers.same_bytes(segment, a, b):
-                self.bad.add(numbers[k])
-                encoded[k] = ([], [])
-        part = align(self.tokenizers, encoded)
+        """Aligns segments and numbers them."""
+        encoded = self.tokenizers.encode(fresh)
+        numbers = [0] * len(fresh)
+        for number, k in enumerate(encoded.places, self.size):
+            numbers[k] = number
+        self.bad.update((self.size + np.flatnonzero(encoded.n_a == 0)).tolist())
+        part = align(self.tokenizers, encoded, self.with_groups)
         self.parts.append(part)
         self.groups += part.groups
         self.size += len(fresh)

@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -106,7 +107,7 @@ def task_counts(docs: DataFrame, files) -> DataFrame:
                 aligner.clear()
                 met = np.zeros(0, np.int64)
             numbers = aligner.texts(batch.column("text").to_pylist())
-            seen = np.fromiter((i for segments in numbers for i in segments), np.int64, sum(map(len, numbers)))
+            seen = np.fromiter(chain.from_iterable(numbers), np.int64, sum(map(len, numbers)))
             more = np.bincount(seen, minlength=aligner.size)
             more[: len(met)] += met
             met = more
@@ -266,7 +267,7 @@ class _Sums:
     """Sums over the segments of every text."""
 
     def __init__(self, numbers: list[list[int]]):
-        self.flat = np.fromiter((i for n in numbers for i in n), np.int64, sum(map(len, numbers)))
+        self.flat = np.fromiter(chain.from_iterable(numbers), np.int64, sum(map(len, numbers)))
         self.row = np.repeat(np.arange(len(numbers)), list(map(len, numbers)))
         self.rows = len(numbers)
 

@@ -7,6 +7,7 @@ into segments, each of which is encoded once for all its occurrences in a task.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ _SEGMENT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 _UNSURE = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\u2060\u2581\ufeff]")
 
 #: Segments kept between texts, and the longest that is kept.
-KEPT_SEGMENTS = 400_000
+KEPT_SEGMENTS = 600_000
 LONGEST_KEPT = 200
 
 #: Segments encoded end to end.
@@ -72,13 +73,15 @@ class Tokenizers:
     def encode(self, segments: list[str]) -> Encoded:
         """Ids of segments under both. Segments are encoded end to end, a chunk at a time, as they would be cut again."""
         kept: list[Encoded] = []
-        apart = [k for k, s in enumerate(segments) if not self.cuts or s[0] not in " \n" or s[-1].isspace() or _UNSURE.search(s[-1])]
+        open_ends = {c for c in {s[-1] for s in segments} if c.isspace() or _UNSURE.search(c)}
+        apart = [k for k, s in enumerate(segments) if not self.cuts or s[-1] in open_ends or s[0] not in " \n"]
         alone = set(apart)
         together = [k for k in range(len(segments)) if k not in alone]
         chunks = [together[k : k + CHUNK] for k in range(0, len(together), CHUNK)]
         texts = ["".join(map(segments.__getitem__, chunk)) for chunk in chunks]
         for chunk, text, ids_a, ids_b in zip(chunks, texts, self._ids_a(texts), self._ids_b(texts)):
-            sizes = np.cumsum([len(segments[k].encode()) for k in chunk])
+            parts = map(segments.__getitem__, chunk)
+            sizes = np.cumsum(list(map(len, parts if text.isascii() else map(str.encode, parts))))
             ends = [np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])]
             cut = [np.searchsorted(end, sizes) for end in ends]
             if self.same_bytes(text, ids_a, ids_b) and all(np.array_equal(end[at], sizes) for end, at in zip(ends, cut)):
@@ -204,12 +207,18 @@ class Aligner:
     def texts(self, texts: list[str | None]) -> list[list[int]]:
         """Numbers of the segments of every text; none for a text without tokens."""
         cut = [self.tokenizers.segments(t) if t else [] for t in texts]
-        fresh = list({s for segments in cut for s in segments}.difference(self.number))
+        flat = list(itertools.chain.from_iterable(cut))
+        met = list(map(self.number.get, flat))
+        unknown = [k for k, number in enumerate(met) if number is None]
+        fresh = list({flat[k] for k in unknown})
         self.number |= zip(fresh, self._add(fresh))
-        numbers = [list(map(self.number.__getitem__, segments)) for segments in cut]
+        for k in unknown:
+            met[k] = self.number[flat[k]]
         for s in fresh:
             if len(s) > LONGEST_KEPT:
                 del self.number[s]
+        ends = list(itertools.accumulate(map(len, cut), initial=0))
+        numbers = [met[i:j] for i, j in itertools.pairwise(ends)]
         if self.bad:
             for k, found in enumerate(numbers):
                 if not self.bad.isdisjoint(found):

@@ -14,7 +14,7 @@ from statistics import NormalDist
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.config import Settings
@@ -290,19 +290,21 @@ def residual_std(scored: DataFrame, label: str = "label", prediction: str = "pre
     return scored.groupBy("horizon").agg(deviation.alias("resid_std"))
 
 
+def interval_columns(deviation: Column, alpha: float = 0.05, inflation: float = 1.5) -> tuple[Column, Column]:
+    """Bounds around ``yhat``: z · inflation · deviation, or ±15 % without a deviation."""
+    z = NormalDist().inv_cdf(1 - alpha / 2)
+    std = F.coalesce(deviation, F.lit(0.0)) * inflation
+    margin = F.when(std > 0, std * z).otherwise(F.abs("yhat") * 0.15)
+    return F.col("yhat") - margin, F.col("yhat") + margin
+
+
 def prediction_intervals(
     predictions: DataFrame, resid: DataFrame, alpha: float = 0.05, inflation: float = 1.5
 ) -> DataFrame:
-    """Adds ``yhat_lower`` and ``yhat_upper``: z · inflation · deviation, or ±15 % without a deviation."""
-    z = NormalDist().inv_cdf(1 - alpha / 2)
-    std = F.coalesce(F.col("resid_std"), F.lit(0.0)) * inflation
-    margin = F.when(std > 0, std * z).otherwise(F.abs("yhat") * 0.15)
-    # one deviation per horizon
-    return (
-        predictions.join(F.broadcast(resid), "horizon", "left")
-        .withColumns({"yhat_lower": F.col("yhat") - margin, "yhat_upper": F.col("yhat") + margin})
-        .drop("resid_std")
-    )
+    """Adds ``yhat_lower`` and ``yhat_upper`` from one deviation per horizon."""
+    lower, upper = interval_columns(F.col("resid_std"), alpha, inflation)
+    joined = predictions.join(F.broadcast(resid), "horizon", "left")
+    return joined.withColumns({"yhat_lower": lower, "yhat_upper": upper}).drop("resid_std")
 
 
 def forecast(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelforge.config import Settings
 from panelforge.functions.metrics import all_metrics
-from panelforge.operators import baselines, cleaning, evaluation, forecast, kpi, selection, splits
+from panelforge.operators import baselines, cleaning, evaluation, forecast, kpi, per_key, selection, splits
 from panelforge.operators.features import add_transaction_features, valid_orders
 from panelforge.operators.joins import build_master_table
 from panelforge.operators.panel import monthly_panel
@@ -114,18 +114,25 @@ class TrainPlan:
     # 8
     def backtest(self, candidates: dict | None = None) -> "TrainPlan":
         """Candidates fitted on the training split predict from its last row."""
-        candidates = candidates or {
+        candidates = dict(candidates) if candidates else {
             "GBT": forecast.gbt(self.params),
+            "XGB": forecast.xgb_like(),
             "RandomForest": forecast.random_forest(),
             "Ridge_Regression": forecast.ridge(),
         }
+        if self.keys:
+            candidates.setdefault("Ridge_per_key", per_key.PerKeyRidge)
         s, train = self.settings, self.part("train")
         test = baselines.numbered_test(
             splits.union_test_splits(self.split(self.cleaned)), self.keys, s.horizon, s.target
         )
         rows, inside = [], []
         for name, make in candidates.items():
-            model = forecast.DirectForecaster(name, make, s.horizon).fit(train, self.selected, s.target, self.keys)
+            if make is per_key.PerKeyRidge:
+                model = make(name, horizon=s.horizon)
+            else:
+                model = forecast.DirectForecaster(name, make, s.horizon)
+            model.fit(train, self.selected, s.target, self.keys)
             predicted = model.predict(train, self.keys).drop("ds").withColumn("model", F.lit(name))
             rows.append(predicted.join(test, [*self.keys, "horizon"]).select("model", "y", "yhat"))
             fitted = model.score(train, 1).select(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from checks import inputs, sql
 from checks.registry import check
 from panelforge.operators import cleaning
+from panelforge.operators.stages import PanelCleaner, ZeroFill
 from panelforge.session import scratch_path
 
 W = sql.with_ctes
@@ -210,3 +213,15 @@ def clean_panel_reloaded(spark, folder):
     cleaning.fit_cleaning(train, inputs.SETTINGS, STATE).to_frame(spark).write.parquet(path)
     model = cleaning.CleaningModel.from_frame(spark.read.parquet(path))
     return cleaning.clean_panel(rows, inputs.SETTINGS, STATE, model, fit=False)[0]
+
+
+@check("clean_panel_pipeline", _clean_sql(), doubles="monthly_revenue " + " ".join(_NUM), dates="ds", **_CLEAN)
+def clean_panel_pipeline(spark, folder):
+    """The chain as a stage of a pipeline, fitted on the training rows, saved, read back and applied."""
+    rows, _ = _clean_input(spark, folder)
+    cleaner = PanelCleaner.of(inputs.SETTINGS, STATE, "ds <= DATE '2000-06-01'")
+    features = [c for c in _NUM if c != "is_q4"]
+    assembler = VectorAssembler(inputCols=features, outputCol="features_vec")
+    path = scratch_path(spark, "pipeline")
+    Pipeline(stages=[cleaner, ZeroFill(inputCols=features), assembler]).fit(rows).write().save(path)
+    return PipelineModel.load(path).transform(rows).drop("features_vec")

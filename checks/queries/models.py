@@ -9,7 +9,6 @@ from checks import inputs, sql
 from checks.queries.selection import _corr_ctes, _CORR, _parts, FEATURES, cleaned_parts
 from checks.registry import check
 from panelforge.operators import baselines, evaluation, forecast, selection
-from panelforge.operators.timeseries import add_time_series_features
 from panelforge.plans.train import TrainPlan
 from panelforge.session import scratch_path
 
@@ -358,9 +357,7 @@ def incremental_refresh(spark, folder):
     plan = TrainPlan(spark, inputs.SETTINGS.with_(horizon=1), STATE)
     panel = inputs.panel(spark, folder)
     newest = F.to_date(F.lit("2001-05-01"))
-    panel.filter(F.col("ds") < newest).write.parquet(f"{plan.path}/panel")
-    plan.panel = add_time_series_features(spark.read.parquet(f"{plan.path}/panel"), plan.settings, STATE)
-    plan.clean()
+    plan.start_from(panel.filter(F.col("ds") < newest)).clean()
     plan.selected = CHOSEN
     model = forecast.DirectForecaster("GBT", forecast.gbt({"maxIter": 5, "maxDepth": 3}), 1)
     plan.forecaster = model.fit(plan.part("train"), CHOSEN, keys=STATE)

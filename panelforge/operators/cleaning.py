@@ -262,23 +262,26 @@ class CleaningModel:
 
     @classmethod
     def from_frame(cls, params: DataFrame) -> "CleaningModel":
+        return cls.from_rows([(r["step"], r["column"], r["param"], r["value"], r["label"]) for r in params.collect()])
+
+    @classmethod
+    def from_rows(cls, rows: list[tuple]) -> "CleaningModel":
         model = cls(strategy="median")
         pairs: dict[tuple[str, str], dict[str, float]] = {}
         listed: dict[tuple[str, str], list[tuple[float, str]]] = {}
-        for r in params.collect():
-            step, column, param = r["step"], r["column"], r["param"]
+        for step, column, param, value, label in rows:
             if param == "strategy":
-                model.strategy = r["label"]
+                model.strategy = label
             elif step == "numeric":
                 model.numeric.append(column)
             elif step == "impute":
-                model.fill[column] = r["value"]
+                model.fill[column] = value
             elif step in ("rare", "one_hot"):
                 values = listed.setdefault((step, column), [])
                 if param == "category":
-                    values.append((r["value"], r["label"]))
+                    values.append((value, label))
             else:
-                pairs.setdefault((step, column), {})[param] = r["value"]
+                pairs.setdefault((step, column), {})[param] = value
         for (step, column), p in pairs.items():
             if step == "clip":
                 model.clip[column] = (p["low"], p["high"])

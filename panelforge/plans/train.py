@@ -8,7 +8,8 @@ import uuid
 from dataclasses import dataclass, field
 
 import pyspark
-from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,10 @@ from panelforge.operators.features import add_transaction_features, valid_orders
 from panelforge.operators.joins import build_master_table
 from panelforge.operators.panel import monthly_panel
 from panelforge.operators.timeseries import add_time_series_features
+from panelforge.operators.stages import PanelCleanerModel, ZeroFill
 from panelforge.session import scratch_path
 from panelforge.sources import store, tables as source_tables
+from panelforge.sources.panel_store import PanelStore
 
 #: Boosting parameters used without tuning (fixed values).
 DEFAULT_PARAMS = {"maxIter": 300, "stepSize": 0.05, "maxDepth": 5, "minInstancesPerNode": 5}
@@ -52,6 +55,8 @@ class TrainPlan:
 
     def __post_init__(self):
         self.path = self.path or scratch_path(self.spark, "plan")
+        self.raw = PanelStore(self.spark, f"{self.path}/panel", self.keys)
+        self.clean_store = PanelStore(self.spark, f"{self.path}/cleaned", self.keys)
 
     # 1
     def load(self, data: dict[str, DataFrame] | str) -> "TrainPlan":
@@ -63,9 +68,12 @@ class TrainPlan:
 
     # 2
     def build_features(self) -> "TrainPlan":
-        store.write_panel(monthly_panel(self.tables, self.keys), f"{self.path}/panel")
-        base = store.read_panel(self.spark, f"{self.path}/panel")
-        self.panel = add_time_series_features(base, self.settings, self.keys)
+        return self.start_from(monthly_panel(self.tables, self.keys))
+
+    def start_from(self, panel: DataFrame) -> "TrainPlan":
+        """Stores a raw panel and derives its features."""
+        self.raw.create(panel)
+        self.panel = self._featured(self.raw.read())
         return self
 
     # 3
@@ -91,7 +99,8 @@ class TrainPlan:
         fit_on = self.split(raw).filter(F.col("split") == "train").drop("split", "is_live") if self.leakage_free else raw
         self.cleaning_model = cleaning.fit_cleaning(fit_on, self.settings, self.keys)
         self.cleaning_model.to_frame(self.spark).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/cleaning")
-        self._keep_cleaned(0)
+        self.clean_store.create(self.cleaning_model.transform(self.panel, self.keys), self.raw.manifest().n_buckets)
+        self.cleaned = self.clean_store.read()
         return self
 
     # 6
@@ -219,37 +228,34 @@ class TrainPlan:
         cleaned = self.cleaning_model.transform(raw, self.keys)
         return forecast.forecast(self.forecaster, cleaned, self.keys, horizon, self.settings)
 
-    def _keep_cleaned(self, number: int) -> None:
-        path = f"{self.path}/cleaned/number={number}"
-        self.cleaning_model.transform(self.panel, self.keys).write.mode("overwrite").parquet(path)
-        self.cleaned = self.spark.read.parquet(path)
+    def _featured(self, raw: DataFrame) -> DataFrame:
+        return add_time_series_features(raw, self.settings, self.keys)
 
     def raw_panel(self) -> DataFrame:
-        """The stored panel: its base, then every refresh in order; a later row of a period replaces an earlier one."""
-        base = store.read_panel(self.spark, f"{self.path}/panel")
-        for number in self._refreshes():
-            arrived = self.spark.read.parquet(f"{self.path}/arrived/number={number}")
-            ids = [*self.keys, "ds"]
-            base = splits.union_history(base.join(arrived.select(*ids), ids, "left_anti"), arrived)
-        return base
-
-    def _refreshes(self) -> list[int]:
-        try:
-            numbers = self.spark.read.parquet(f"{self.path}/arrived").select("number").distinct().collect()
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return []
-        return sorted(r["number"] for r in numbers)
-
-    def keep_arrived(self, arrived: DataFrame) -> int:
-        """Stores newly arrived periods; gives the number of the refresh."""
-        number = 1 + max(self._refreshes(), default=0)
-        arrived.write.parquet(f"{self.path}/arrived/number={number}")
-        return number
+        """The stored panel with all refreshes; a later row of a period replaces an earlier one."""
+        return self.raw.read()
+
+    def keep_arrived(self, arrived: DataFrame) -> list[int]:
+        """Stores newly arrived periods and cleans the buckets of their series anew; gives these buckets."""
+        touched = self.raw.upsert(arrived)
+        rows = self._featured(self.raw.read(buckets=touched))
+        self.clean_store.replace(self.cleaning_model.transform(rows, self.keys), touched)
+        self.panel, self.cleaned = self._featured(self.raw.read()), self.clean_store.read()
+        return touched
+
+    def pipeline(self, h: int = 1) -> PipelineModel:
+        """Cleaning and the model of a horizon as one pipeline: raw feature rows in, ``prediction`` out."""
+        model, parts, stages = self.forecaster, [], []
+        for i, fitted in enumerate([model._model(h), *model.extras.get(h, [])]):
+            last = fitted.stages[-1]
+            parts.append(f"_p{i}")
+            stages.append(last.copy({last.predictionCol: parts[-1]}))
+        total = SQLTransformer(statement=f"SELECT *, {' + '.join(parts)} AS prediction FROM __THIS__")
+        lead = [PanelCleanerModel.of(self.cleaning_model, self.keys), ZeroFill(inputCols=model.features), model._model(h).stages[0]]
+        return PipelineModel([*lead, *stages, total])
 
     def _with(self, arrived: DataFrame) -> DataFrame:
-        return add_time_series_features(splits.union_history(self.raw_panel(), arrived), self.settings, self.keys)
+        return self._featured(splits.union_history(self.raw_panel(), arrived))
 
     def incremental_refresh(self, arrived: DataFrame, window: int = 3, extra_trees: int = 20) -> DataFrame:
         """New periods: recompute features, clean without refitting, boost on recent rows, score again."""
@@ -260,9 +266,7 @@ class TrainPlan:
 
 def refresh(plan: TrainPlan, arrived: DataFrame, window: int = 3, extra_trees: int = 20) -> DataFrame:
     s = plan.settings
-    number = plan.keep_arrived(arrived)
-    plan.panel = add_time_series_features(plan.raw_panel(), s, plan.keys)
-    plan._keep_cleaned(number)
+    plan.keep_arrived(arrived)
     recent = splits.holdout_last_n(plan.cleaned, max(window, 2), plan.keys).filter("is_test").drop("is_test")
     plan.forecaster.update(recent, s.target, plan.keys, extra_trees)
     plan.forecaster.save(plan.spark, f"{plan.path}/model")
@@ -275,10 +279,9 @@ def refresh(plan: TrainPlan, arrived: DataFrame, window: int = 3, extra_trees: i
 def load_plan(spark: SparkSession, path: str, settings: Settings = Settings(), keys: list[str] | None = None) -> TrainPlan:
     """A trained plan from its folder: panel, cleaning parameters and models."""
     plan = TrainPlan(spark, settings, keys or [], path)
-    plan.panel = add_time_series_features(plan.raw_panel(), settings, plan.keys)
+    plan.panel = plan._featured(plan.raw_panel())
     plan.cleaning_model = cleaning.CleaningModel.from_frame(store.read_panel(spark, f"{path}/cleaning"))
-    last = max(plan._refreshes(), default=0)
-    plan.cleaned = store.read_panel(spark, f"{path}/cleaned/number={last}")
+    plan.cleaned = plan.clean_store.read()
     plan.forecaster = forecast.DirectForecaster.load(spark, f"{path}/model")
     plan.selected = plan.forecaster.features
     return plan

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from panelforge.config import RAW_FILES
 from panelforge.functions.rows import month_start
+from panelforge.sources.quoted_csv import read_quoted_csv
 
 log = logging.getLogger(__name__)
 
@@ -23,7 +24,7 @@ ORDER_DATES = [
     "order_estimated_delivery_date",
 ]
 ITEM_DATES = ["shipping_limit_date"]
-#: Tables with line breaks inside quoted text; such CSV files are not splittable.
+#: Tables with line breaks inside quoted text; their CSV files are read in two passes.
 MULTI_LINE = {"order_reviews"}
 
 
@@ -68,12 +69,15 @@ def load_tables(
     for name, file in (files or RAW_FILES).items():
         reader = spark.read.format(fmt)
         if fmt == "csv":
-            # the header is checked against the schema; comments may span lines
-            reader = reader.options(header=True, escape='"', enforceSchema=False, multiLine=name in MULTI_LINE)
+            # the header is checked against the schema
+            reader = reader.options(header=True, escape='"', enforceSchema=False)
         if name in schemas and fmt != "parquet":
             reader = reader.schema(schemas[name])
         try:
-            tables[name] = reader.load(f"{path.rstrip('/')}/{file}")
+            if fmt == "csv" and name in MULTI_LINE and name in schemas:
+                tables[name] = read_quoted_csv(spark, f"{path.rstrip('/')}/{file}", schemas[name])
+            else:
+                tables[name] = reader.load(f"{path.rstrip('/')}/{file}")
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise

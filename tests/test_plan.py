@@ -1,4 +1,5 @@
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from panelforge.config import Settings
@@ -36,7 +37,7 @@ def test_forecast_and_reload(spark, plan):
 
 
 def test_refresh_appends_and_boosts(spark, plan):
-    base = store.read_panel(spark, f"{plan.path}/panel")
+    base = plan.raw_panel()
     arrived = base.orderBy(F.desc("ds")).limit(1).withColumn("ds", F.add_months("ds", 1).cast("date"))
     before, n = plan.forecaster.n_trees(1), base.count()
     metrics = plan.incremental_refresh(arrived, extra_trees=3).collect()
@@ -50,5 +51,16 @@ def test_refresh_appends_and_boosts(spark, plan):
     again = load_plan(spark, plan.path, plan.settings)
     assert {r["ds"] for r in again.panel.select("ds").collect()} == months
     assert again.cleaned.count() == plan.cleaned.count()
+    # one bucket is written per refresh, however many came before
+    assert len(plan.raw.read().inputFiles()) == len(plan.clean_store.read().inputFiles()) == 1
     with pytest.raises(RuntimeError):
         TrainPlan(spark).incremental_refresh(arrived)
+
+
+def test_pipeline_predicts_like_the_plan_and_is_saved(spark, plan, tmp_path):
+    """Also with the trees that refreshes added."""
+    plan.pipeline(1).write().save(str(tmp_path / "p"))
+    loaded = PipelineModel.load(str(tmp_path / "p"))
+    got = {r["ds"]: r["prediction"] for r in loaded.transform(plan.panel).collect()}
+    want = {r["ds"]: r["yhat"] for r in plan.forecaster.score(plan.cleaned, 1).collect()}
+    assert got == pytest.approx(want) and len(got) > 20

@@ -9,6 +9,7 @@ from checks.queries.data import SERIES_DOUBLES
 from checks.registry import check
 from panelforge.session import scratch_path
 from panelforge.streaming import live
+from panelforge.streaming.period_features import feature_names, stream_period_features
 
 W = sql.with_ctes
 
@@ -27,8 +28,8 @@ def _events(spark, folder):
 
 @check(
     "stream_period_aggregate",
-    """SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS ds, sum(value) AS revenue, count(*) AS orders, avg(value) AS avg_ticket
-      FROM events GROUP BY ALL""",
+    """SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS ds, sum(value) AS revenue, count(*) AS orders, avg(value) AS avg_ticket,
+      true AS customers_within FROM events GROUP BY ALL""",
     doubles="revenue avg_ticket",
     dates="ds",
     revenue=2,
@@ -37,7 +38,11 @@ def stream_period_aggregate(spark, folder):
     path = scratch_path(spark, "live")
     totals = live.stream_period_aggregate(_events(spark, folder), "ts", ["event_type"], "value", "user_id")
     live.run_to_table(totals, path, "complete")
-    return spark.read.parquet(path).drop("approx_customers")
+    exact = inputs.events(spark, folder).groupBy("event_type", F.to_date("ts").alias("ds")).agg(F.count_distinct("user_id").alias("_n"))
+    # the sketch's standard error is 5 %; some hundred of them are held against three of it
+    off = F.abs(F.col("approx_customers") - F.col("_n")) <= 0.15 * F.col("_n") + 1
+    totals = spark.read.parquet(path).join(exact, ["event_type", "ds"])
+    return totals.withColumn("customers_within", off).drop("approx_customers", "_n")
 
 
 @check(
@@ -69,6 +74,38 @@ def stream_dedup_events(spark, folder):
     return spark.read.parquet(path).select("event_id", "event_type", "value")
 
 
+_OPEN = "62 days"
+
+
+@check(
+    "stream_period_features",
+    W(*sql.SERIES)
+    + f"""SELECT customer_state, ds, monthly_revenue, CAST(monthly_orders AS DOUBLE) AS monthly_orders,
+      {", ".join(f"CAST({c} AS DOUBLE) AS {c}" if c.startswith("orders") else c for c in feature_names(inputs.SETTINGS))}
+      FROM s WHERE ds <= (SELECT max(ds) FROM s) - INTERVAL {_OPEN}""",
+    doubles="monthly_revenue monthly_orders " + " ".join(feature_names(inputs.SETTINGS)),
+    dates="ds",
+)
+def stream_period_features_query(spark, folder):
+    """Panel rows arrive in four parts; the last month of each is wrong at first and corrected with the next part."""
+    panel = inputs.panel(spark, folder).select("customer_state", "ds", "monthly_revenue", "monthly_orders")
+    path = scratch_path(spark, "periods")
+    cuts = ["1994-01-01", "1996-12-01", "1998-11-01", "2000-10-01", "2002-01-01"]
+    for low, high in zip(cuts, cuts[1:]):
+        day = F.to_date(F.lit(high))
+        fresh = panel.filter((F.col("ds") > F.to_date(F.lit(low))) & (F.col("ds") <= day))
+        wrong = F.when(F.col("ds") == day, F.col("monthly_revenue") / 2).otherwise(F.col("monthly_revenue"))
+        part = fresh.withColumns({"monthly_revenue": wrong, "version": F.lit(0)})
+        corrected = panel.filter(F.col("ds") == F.to_date(F.lit(low))).withColumn("version", F.lit(1))
+        part.unionByName(corrected).coalesce(1).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = scratch_path(spark, "period-features")
+    live.run_to_table(stream_period_features(stream, inputs.STATE, inputs.SETTINGS, _OPEN, "version"), out)
+    names = feature_names(inputs.SETTINGS)
+    return spark.read.parquet(out).select("customer_state", "ds", "monthly_revenue", "monthly_orders", *names)
+
+
 @check(
     "stream_panel_refresh",
     W(*sql.SERIES) + "SELECT * FROM s WHERE ds >= DATE '2001-04-01'",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import inputs, sql
 from checks.registry import check
+from panelforge.operators import sketches
 from panelforge.session import scratch_path
 from panelforge.sources.panel_store import PanelStore
 from panelforge.sources.quoted_csv import read_quoted_csv
@@ -86,3 +87,69 @@ def panel_store_upsert(spark, folder):
     store.upsert(old.withColumn("monthly_revenue", F.col("monthly_revenue") * 2))
     store.vacuum()
     return store.read()
+
+
+# ---- sketches ------------------------------------------------------------
+
+#: Three standard errors of the id sketches, and the rank error of the value sketches with room for ties.
+_IDS_OFF, _RANK_OFF = 0.05, 0.02
+
+
+@check(
+    "sketch_months_from_days",
+    """SELECT event_type, CAST(date_trunc('month', ts) AS DATE) AS ds, count(*) AS n, sum(value) AS sum_value, avg(value) AS mean_value,
+      true AS ids_within, true AS median_within, true AS p90_within FROM events GROUP BY ALL""",
+    doubles="sum_value mean_value",
+    dates="ds",
+    sum_value=2,
+)
+def sketch_months_from_days(spark, folder):
+    """Days are stored as sketches one after the other; months are merged from them and held against the rows."""
+    rows = inputs.events(spark, folder)
+    days = sketches.sketch_table(rows, ["event_type"], "ts", ["value"], ["user_id"])
+    store = PanelStore(spark, scratch_path(spark, "sketches"), ["event_type"])
+    late = F.dayofmonth("ds") > 20
+    store.create(days.filter(~late), n_buckets=2).upsert(days.filter(late))
+    months = sketches.estimates(sketches.merge_sketches(store.read(), ["event_type"], "month"), (0.5, 0.9))
+    month = F.to_date(F.date_trunc("month", "ts")).alias("ds")
+    marked = rows.join(months.select("event_type", F.col("ds").alias("_ds"), "p50_value", "p90_value"), "event_type")
+    marked = marked.filter(F.to_date(F.date_trunc("month", "ts")) == F.col("_ds"))
+    share = lambda q, below: F.avg((F.col("value") < F.col(q)).cast("int") if below else (F.col("value") <= F.col(q)).cast("int"))
+    exact = marked.groupBy("event_type", month).agg(
+        F.count_distinct("user_id").alias("ids"),
+        *[share(f"{p}_value", below).alias(f"{p}_{below}") for p in ("p50", "p90") for below in (True, False)],
+    )
+
+    def within(p, target):
+        return (F.col(f"{p}_True") <= target + _RANK_OFF) & (F.col(f"{p}_False") >= target - _RANK_OFF)
+
+    return months.join(exact, ["event_type", "ds"]).select(
+        "event_type", "ds", "n", "sum_value", "mean_value",
+        (F.abs(F.col("approx_user_id") - F.col("ids")) <= _IDS_OFF * F.col("ids") + 1).alias("ids_within"),
+        within("p50", 0.5).alias("median_within"), within("p90", 0.9).alias("p90_within"),
+    )
+
+
+_BINS = 5
+
+
+@check(
+    "sketch_drift_monitor",
+    """WITH d AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS ds, CAST(o_totalprice AS DOUBLE) AS v, o_orderdate < TIMESTAMP '2000-07-01' AS base FROM orders),
+    e AS (SELECT min(v) AS lo, max(v) AS hi FROM d WHERE base),
+    b AS (SELECT *, CASE WHEN v < lo - 1e-9 OR v > hi + 1e-9 THEN NULL ELSE least(4, greatest(0, CAST(floor((v - lo) / (hi - lo) * 5) AS INTEGER))) END AS bin FROM d, e),
+    g AS (SELECT unnest(range(5)) AS bin), bc AS (SELECT bin, count(*) AS k FROM b WHERE base GROUP BY 1),
+    bs AS (SELECT g.bin, coalesce(k, 0) / (SELECT count(*) FROM b WHERE base) + 1e-6 AS q FROM g LEFT JOIN bc USING (bin)),
+    m AS (SELECT ds, count(*) AS n FROM b WHERE NOT base GROUP BY 1),
+    cc AS (SELECT ds, bin, count(*) AS k FROM b WHERE NOT base GROUP BY ALL),
+    cs AS (SELECT m.ds, bs.bin, q, coalesce(k, 0) / n + 1e-6 AS p FROM m CROSS JOIN bs LEFT JOIN cc ON cc.ds = m.ds AND cc.bin = bs.bin)
+    SELECT ds, m.n, sum((p - q) * ln(p / q)) > 0.25 AS drifted FROM cs JOIN m USING (ds) GROUP BY ALL HAVING m.n >= 100""",
+    dates="ds",
+)
+def sketch_drift_monitor(spark, folder):
+    """Order values of later months against the training period, from day sketches only."""
+    orders = inputs.read(spark, folder, "orders")
+    days = sketches.sketch_table(orders, [], "o_orderdate", ["o_totalprice"])
+    drift = sketches.sketch_drift(days, "o_totalprice", "2000-06-30", bins=_BINS)
+    # in a month of few orders an empty bin alone passes the threshold
+    return drift.filter(F.col("n") >= 100).select("ds", "n", "drifted")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -33,22 +36,49 @@ def build_session(app: str = "panelforge", master: str | None = None, **conf) ->
     return tune(builder.getOrCreate())
 
 
+#: The folder of a local session without ``spark.checkpoint.dir``, which cannot be set while a session runs.
+_OWN_DIR = "panelforge.shared.dir"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and written tables, from ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a temporary folder; a cluster
-    session must name a folder that every executor can reach.
+    A session of one machine without the setting gets a temporary folder; a
+    cluster session must name a folder that every executor can reach.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_DIR, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="panelforge-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    spark.conf.set(_OWN_DIR, folder)
     return folder
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession, packages: tuple[str, ...] = ("panelforge",)) -> None:
+    """Sends the code of packages beside this one to the executors, once per application.
+
+    Python workers import the functions they run; on a cluster they do not see the driver's folders.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="panelforge-code-"), "panelforge-code.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for package in packages:
+            for file in sorted((root / package).rglob("*.py")):
+                out.write(file, file.relative_to(root))
+    # the driver serves the file to the executors
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

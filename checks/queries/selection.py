@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from checks import inputs, sql
@@ -10,15 +12,15 @@ from checks.registry import check
 from panelforge.functions.metrics import all_metrics
 from panelforge.operators import cleaning, evaluation, selection
 from panelforge.operators.forecast import DirectForecaster, ridge
+from panelforge.streaming.period_features import feature_names
 
 W = sql.with_ctes
 STATE = inputs.STATE
 TRAIN, VAL = "ds <= DATE '2000-06-01'", "ds > DATE '2000-06-01' AND ds <= DATE '2000-12-01'"
-FEATURES = [
-    "monthly_orders", "monthly_customers", "avg_ticket", "avg_review_score", "avg_delivery_days", "pct_late_delivery",
-    "avg_delay_days", "pct_credit_card", "pct_installments", "unique_categories", "unique_sellers", "avg_freight",
-    "revenue_lag_1", "revenue_lag_12", "revenue_yoy_growth", "unique_states",
-]
+_CYCLE = ["month", "quarter", "month_sin", "month_cos", "is_q4", "is_nov_dec"]
+#: Every numeric column of the panel but the target.
+FEATURES = [c for c in re.findall(r"AS (monthly_\w+|avg_\w+|median_\w+|pct_\w+|total_\w+|unique_\w+)", sql.AGGREGATES) if c != "monthly_revenue"]
+FEATURES += [*feature_names(inputs.SETTINGS), *_CYCLE]
 
 
 def _parts(spark, folder):
@@ -160,7 +162,7 @@ def pearson_test(spark, folder):
     return delay.unionByName(orders).drop("p_value")
 
 
-_MI = ["monthly_orders", "avg_ticket", "avg_review_score", "unique_sellers", "revenue_lag_1", "revenue_yoy_growth", "is_q4"]
+_MI = FEATURES
 
 
 def _mi_ctes(bins: int = 8) -> str:
@@ -221,7 +223,7 @@ def cleaned_features(df):
 def wrapper_selection(spark, folder):
     """Error of every feature count and the rank of each feature."""
     train = cleaned_parts(spark, folder)["train"]
-    found = selection.wrapper_selection(train, FEATURES[:12], "monthly_revenue")
+    found = selection.wrapper_selection(train, FEATURES, "monthly_revenue")
     rows = [(f, r, f in found.selected) for f, r in found.ranking.items()]
     return spark.createDataFrame(rows, "feature string, ranking int, selected boolean")
 
@@ -249,7 +251,7 @@ def selection_table(spark, folder):
     train = _parts(spark, folder)[0]
     scores = selection.univariate_selection(train, _MI, "monthly_revenue", 0.3, 0)
     filled = train.select("monthly_revenue", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in _MI])
-    importance = selection.target_correlation(filled, _MI, "monthly_revenue").withColumnRenamed("abs_r", "importance")
+    importance = selection.target_correlation(filled, _MI, "monthly_revenue", len(_MI)).withColumnRenamed("abs_r", "importance")
     names = F.array(*[F.lit(f) for f in _MI])
     variables = scores.select(F.array_position(names, F.col("feature")).cast("int").alias("Nro"), F.col("feature").alias("Variable"))
     return selection.selection_table(variables, scores.filter("keep"), scores, importance)

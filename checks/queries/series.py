@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import inputs, sql
 from checks.queries.data import SERIES_DOUBLES
 from checks.registry import check
-from panelforge.operators import splits, timeseries
+from panelforge.operators import splits, timeseries, unit_root
 from panelforge.operators.joins import latest_per_key
 
 W = sql.with_ctes
@@ -239,3 +239,29 @@ def time_series_folds(spark, folder):
 )
 def holdout_last_n(spark, folder):
     return splits.holdout_last_n(inputs.panel(spark, folder), 3, STATE).select("customer_state", "ds", "is_test")
+
+
+_AT = {1: "(-3.43035 - 6.5393 / n - 16.786 / n**2 - 79.433 / n**3)", 5: "(-2.86154 - 2.8903 / n - 4.234 / n**2 - 40.04 / n**3)",
+       10: "(-2.56677 - 1.5384 / n - 2.809 / n**2)"}
+
+
+@check(
+    "unit_root_test",
+    W(*sql.PANEL)
+    + f""", ur AS (SELECT customer_state, ds, monthly_revenue AS v, lag(monthly_revenue) OVER w AS x FROM panel WINDOW w AS (PARTITION BY customer_state ORDER BY ds)),
+      ud AS (SELECT customer_state, x, v - x AS y, lag(v - x) OVER (PARTITION BY customer_state ORDER BY ds) AS z FROM ur),
+      um AS (SELECT customer_state, count(*) AS n, var_pop(x) * count(*) AS xx, var_pop(z) * count(*) AS zz, var_pop(y) * count(*) AS yy,
+          covar_pop(x, z) * count(*) AS xz, covar_pop(x, y) * count(*) AS xy, covar_pop(z, y) * count(*) AS zy
+        FROM ud WHERE x IS NOT NULL AND z IS NOT NULL GROUP BY 1),
+      ub AS (SELECT *, xy / xx AS b0, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS b1, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS c1 FROM um),
+      ue AS (SELECT *, yy - b0 * xy AS r0, yy - b1 * xy - c1 * zy AS r1 FROM ub),
+      us AS (SELECT *, b0 / sqrt(r0 / (n - 2) / xx) AS t0, b1 / sqrt(r1 / (n - 3) * zz / (xx * zz - xz * xz)) AS t1,
+          n * ln(r1 / n) + 6 < n * ln(r0 / n) + 4 AS one FROM ue),
+      ut AS (SELECT customer_state, n, CAST(CASE WHEN one THEN 1 ELSE 0 END AS INTEGER) AS lags, CASE WHEN one THEN t1 ELSE t0 END AS t FROM us)
+    SELECT customer_state, n, lags, t AS statistic, {_AT[1]} AS crit_1, {_AT[5]} AS crit_5, {_AT[10]} AS crit_10, t < {_AT[5]} AS stationary,
+      CASE WHEN t <= {_AT[1]} THEN 0.01 WHEN t >= {_AT[10]} THEN 0.1 WHEN t < {_AT[5]} THEN 0.01 + 0.04 * (t - {_AT[1]}) / ({_AT[5]} - {_AT[1]})
+        ELSE 0.05 + 0.05 * (t - {_AT[5]}) / ({_AT[10]} - {_AT[5]}) END AS p_value FROM ut""",
+    doubles="statistic crit_1 crit_5 crit_10 p_value",
+)
+def unit_root_test(spark, folder):
+    return unit_root.unit_root_test(inputs.panel(spark, folder), STATE, max_lags=1)

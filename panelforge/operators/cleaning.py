@@ -126,12 +126,23 @@ def rare_category_group(df: DataFrame, columns: list[str], threshold: float = 0.
 # ---- one-hot ------------------------------------------------------------
 
 
+#: Columns that a wide table can have, and so categories that the driver reads.
+MOST_CATEGORIES = 10_000
+
+
 def fit_one_hot(df: DataFrame, columns: list[str], drop_first: bool = False) -> dict[str, list[str]]:
-    """The categories of each column, one per column of the wide table; :func:`one_hot_long` needs no list."""
+    """The categories of each column, one per column of the wide table.
+
+    More than :data:`MOST_CATEGORIES` make no table and are refused; :func:`one_hot_long`
+    takes any number, and grouping rare categories first makes them fewer.
+    """
     text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in columns])
     values = text.unpivot([], [F.col(c) for c in columns], "column", "category").distinct()
     found: dict[str, list[str]] = {c: [] for c in columns}
-    for r in values.collect():
+    listed = values.limit(MOST_CATEGORIES + 1).collect()
+    if len(listed) > MOST_CATEGORIES:
+        raise ValueError(f"more than {MOST_CATEGORIES} categories in {columns}: use one_hot_long, or group rare ones first")
+    for r in listed:
         found[r["column"]].append(r["category"])
     out = {}
     for c, categories in found.items():

@@ -367,19 +367,16 @@ def score_scenarios(
 def what_if(panel: DataFrame, scenarios: DataFrame, keys: list[str] | None = None, overrides=None) -> DataFrame:
     """Last row of each series under every scenario; NULL overrides keep the base value.
 
-    ``scenarios`` has one row per scenario (a handful) with columns named like
-    the features they replace.
+    ``scenarios`` has one row per scenario with columns named like the features
+    they replace. Every series meets every scenario, so both sides are all of the
+    result's size; which of them is sent to the tasks, if any, Spark chooses by size.
     """
     keys = keys or []
     overrides = overrides or [c for c in scenarios.columns if c in panel.columns]
     named = scenarios.select(
         *[c for c in scenarios.columns if c not in overrides], *[F.col(c).alias(f"_o_{c}") for c in overrides]
     )
-    listed = [c for c in named.columns]
-    packed = named.agg(F.collect_list(F.struct(*listed)).alias("_s")).withColumn("_one", F.lit(1))
-    base = latest_per_key(panel, keys, "ds").withColumn("_one", F.lit(1))
-    rows = base.join(F.broadcast(packed), "_one").withColumn("_x", F.explode("_s")).drop("_s", "_one")
-    out = rows.select(*panel.columns, *[F.col(f"_x.{c}").alias(c) for c in listed])
+    out = latest_per_key(panel, keys, "ds").select(*panel.columns).crossJoin(named)
     return out.withColumns({c: F.coalesce(F.col(f"_o_{c}"), F.col(c).cast("double")) for c in overrides}).drop(
         *[f"_o_{c}" for c in overrides]
     )

@@ -94,3 +94,13 @@ def test_any_number_of_categories_is_encoded(spark):
 def test_threshold_zero_keeps_all_but_nulls(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "x string")
     assert sorted(r["x"] for r in cleaning.rare_category_group(df, ["x"], 0.0).collect()) == ["a", "b", "other"]
+
+
+def test_one_hot_refuses_more_categories_than_columns(spark, monkeypatch):
+    df = spark.range(30).selectExpr("cast(id AS string) AS cat")
+    monkeypatch.setattr(cleaning, "MOST_CATEGORIES", 30)
+    assert len(cleaning.fit_one_hot(df, ["cat"])["cat"]) == 30
+    monkeypatch.setattr(cleaning, "MOST_CATEGORIES", 29)
+    with pytest.raises(ValueError, match="one_hot_long"):
+        cleaning.fit_one_hot(df, ["cat"])
+    assert cleaning.one_hot_long(df, ["cat"], []).count() == 30

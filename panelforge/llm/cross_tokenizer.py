@@ -95,7 +95,7 @@ def task_counts(docs: DataFrame, files) -> DataFrame:
         met = np.zeros(0, np.int64)
 
         def flushed() -> pa.RecordBatch:
-            pairs, sizes = aligner.links()
+            pairs, sizes = aligner.pairs(), aligner.column("n_links")
             times = np.repeat(np.pad(met, (0, max(0, aligner.size - len(met)))), sizes)
             found, place = np.unique(pairs[times > 0], return_inverse=True)
             n = np.bincount(place, times[times > 0], len(found)).astype(np.int64)
@@ -254,9 +254,8 @@ class Lookup:
 def _rows(batch: pa.RecordBatch, numbers: list[list[int]], aligner: Aligner) -> dict[str, pa.Array | np.ndarray]:
     out = {"doc_id": batch.column("doc_id")}
     sums = _Sums(numbers)
-    for name in ("n_a", "n_b", "n_groups"):
+    for name in ("n_a", "n_b", "n_groups", "n_links"):
         out[name] = sums.of(aligner.column(name))
-    out["n_links"] = sums.of(aligner.links()[1])
     out["groups_sha256"] = [
         hashlib.sha256(";".join(map(aligner.groups.__getitem__, n)).encode()).hexdigest() if n else "" for n in numbers
     ]
@@ -283,15 +282,14 @@ def _looked_up(docs: DataFrame, files, lookup) -> DataFrame:
         since = None
         for batch, numbers in _batched(batches, aligner):
             if since != aligner.cleared:  # the first batch, or one after segments were forgotten
-                since, known, n_best, count_sum = aligner.cleared, 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
-            pairs, sizes = aligner.links()
-            done = int(sizes[:known].sum())
-            count, best = lookup.value.of(pairs[done:])
-            row = np.repeat(np.arange(len(sizes) - known), sizes[known:])
-            more = np.zeros((2, len(sizes) - known), np.int64)
+                since, parts, n_best, count_sum = aligner.cleared, 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+            count, best = lookup.value.of(aligner.pairs(parts, forget=True))
+            sizes = aligner.column("n_links")[len(n_best) :]
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            more = np.zeros((2, len(sizes)), np.int64)
             np.add.at(more[0], row, best)
             np.add.at(more[1], row, count)
-            n_best, count_sum, known = np.r_[n_best, more[0]], np.r_[count_sum, more[1]], len(sizes)
+            n_best, count_sum, parts = np.r_[n_best, more[0]], np.r_[count_sum, more[1]], len(aligner.parts)
             sums = _Sums(numbers)
             yield pa.record_batch(_rows(batch, numbers, aligner) | {"n_best": sums.of(n_best), "count_sum": sums.of(count_sum)})
 
@@ -304,7 +302,7 @@ def _joined_up(docs: DataFrame, files, found: DataFrame) -> DataFrame:
     def list_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = files.value.aligner()
         for batch, numbers in _batched(batches, aligner):
-            pairs, sizes = aligner.links()
+            pairs, sizes = aligner.pairs(), aligner.column("n_links")
             starts = np.cumsum(sizes) - sizes
             listed, times = [], []
             for segments in numbers:

@@ -129,14 +129,14 @@ class Encoded:
 
 @dataclass
 class Aligned:
-    """Segments with their token counts, groups as text, and links (flat, cut by ``starts``)."""
+    """Segments with their token counts, groups as text, and links, end to end."""
 
     n_a: np.ndarray
     n_b: np.ndarray
     n_groups: np.ndarray
+    n_links: np.ndarray
     groups: list[str]
     pairs: np.ndarray
-    starts: np.ndarray
 
 
 def align(tokenizers: Tokenizers, encoded: Encoded, with_groups: bool = True) -> Aligned:
@@ -160,7 +160,7 @@ def align(tokenizers: Tokenizers, encoded: Encoded, with_groups: bool = True) ->
     for n in n_groups.tolist() if with_groups else ():
         groups.append(";".join(map("|".join, zip(side_a[at : at + n], side_b[at : at + n]))))
         at += n
-    return Aligned(n_a, n_b, n_groups, groups, pairs, np.r_[0, np.cumsum(of_segment)])
+    return Aligned(n_a, n_b, n_groups, of_segment, groups, pairs)
 
 
 def _joined(ids: np.ndarray, closes: np.ndarray) -> list[str]:
@@ -186,6 +186,7 @@ class Aligner:
         self.bad: set[int] = set()
         self.parts: list[Aligned] = []
         self.groups: list[str] = []
+        self.columns: dict[str, tuple[int, np.ndarray]] = {}
         self.size = 0
 
     def is_full(self) -> bool:
@@ -229,10 +230,16 @@ class Aligner:
 
     def column(self, name: str) -> np.ndarray:
         """A count of every segment."""
-        return np.concatenate([np.zeros(0, np.int64), *[getattr(p, name) for p in self.parts]])
-
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """``pairs`` of all segments end to end, and how many each has."""
-        sizes = [np.diff(p.starts) for p in self.parts]
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *[p.pairs for p in self.parts]]), np.concatenate([none, *sizes])
+        done, known = self.columns.get(name, (0, np.zeros(0, np.int64)))
+        if done < len(self.parts):
+            known = np.concatenate([known, *[getattr(p, name) for p in self.parts[done:]]])
+            self.columns[name] = len(self.parts), known
+        return known
+
+    def pairs(self, since: int = 0, forget: bool = False) -> np.ndarray:
+        """Links of the segments added from part ``since`` on, end to end; with ``forget`` they are not kept."""
+        found = np.concatenate([np.zeros(0, np.int64), *[p.pairs for p in self.parts[since:]]])
+        if forget:
+            for p in self.parts[since:]:
+                p.pairs = p.pairs[:0].copy()
+        return found

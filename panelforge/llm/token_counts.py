@@ -214,7 +214,7 @@ def redactions(docs: DataFrame) -> DataFrame:
 
     text_batches(docs.sparkSession)
     # a rule needs a digit, so other texts do not go to Python
-    some = _rows(docs).where(F.col("text").rlike("[0-9@]|[0-9a-f]{32}")).select("row", "text")
+    some = _rows(docs).where(F.col("text").rlike(r"[\p{Nd}@]|[0-9a-f]{32}")).select("row", "text")
     return some.mapInArrow(find, "row long, start long, end long, replacement string")
 
 

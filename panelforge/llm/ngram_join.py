@@ -3,17 +3,20 @@
 Texts become sets of hashed five-word shingles. Documents of equal sets are one
 node. Two sets can only be similar enough if they share tokens among their
 first ones in a global order, so only those first tokens (a fifth of a set) are
-compared; tokens that many documents hold come last in the order.
+compared; tokens that several documents hold come last in the order, the more
+often the later.
 
 1. Tokens held by one node alone are dropped.
-2. Similar nodes are grouped: one node of each token is a centre, and nodes that
-   are verified against a centre share its group.
+2. Similar nodes are grouped: some nodes of each token are centres, and nodes that
+   are verified against a centre share its group; nodes left alone among many meet more.
 3. The token-group matrix stores each group's union of first tokens, with the
    range of its set sizes. For a node (the query) and another group, the tokens
    they share bound the overlap with any member; only groups that can still
    reach the share are opened, and only pairs within them whose own bounds hold
-   (common tokens, and bitmaps of the whole sets) are verified on whole sets.
-4. Links become components.
+   (common tokens, and bitmaps of the whole sets, which grow with the sets) are
+   verified on whole sets.
+4. Of a node and an opened group the likeliest pair is verified first; all others
+   follow where it is no link. Links become components.
 
 A group of thousands of near copies has one row per token in the matrix, so it
 is met once, not once per member; no pairs inside a group are formed.
@@ -33,6 +36,7 @@ Defined results:
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,8 +57,8 @@ WORDS = 5
 EXTRA = 2
 
 #: Tokens among the first of more documents than this come last in the order, at
-#: most so many of them (4 bytes each, broadcast). Any such list gives exact results.
-HEAVY_DOCS = 24
+#: most so many of them (5 bytes each, broadcast). Any such list gives exact results.
+HEAVY_DOCS = 2
 MOST_HEAVY = 2_000_000
 
 #: Slots of the bitmap that picks the rows whose whole sets are verified (8 MB, whatever the data).
@@ -101,16 +105,21 @@ def first_count(n: int) -> int:
     return min(n, n - (4 * n + 4) // 5 + EXTRA)
 
 
-def first_tokens(tokens: np.ndarray, heavy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The first tokens in the order (not heavy before heavy, then by hash), as light and heavy ones."""
+#: Low halves of the frequent tokens, sorted, and the power of two their count has reached.
+Heavy = tuple[np.ndarray, np.ndarray]
+
+
+def first_tokens(tokens: np.ndarray, heavy: Heavy | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first tokens in the order (by frequency where that is known, then by hash), as light and heavy ones."""
     count = first_count(len(tokens))
-    if heavy is None or not len(heavy):
+    if heavy is None or not len(heavy[0]):
         return tokens[:count], tokens[:0]
     low = (tokens & _LOW32).astype(np.uint32)
-    at = np.minimum(np.searchsorted(heavy, low), len(heavy) - 1)
-    is_heavy = heavy[at] == low
+    at = np.minimum(np.searchsorted(heavy[0], low), len(heavy[0]) - 1)
+    is_heavy = heavy[0][at] == low
     light = tokens[~is_heavy][:count]
-    return light, tokens[is_heavy][: count - len(light)]
+    late = tokens[is_heavy][np.argsort(heavy[1][at[is_heavy]], kind="stable")]
+    return light, late[: count - len(light)]
 
 
 #: Columns of a set's bitmap, 64 bits each.
@@ -125,6 +134,21 @@ def parity(tokens: np.ndarray) -> list[int]:
     return np.packbits(odd).view(np.int64).tolist()
 
 
+def whole_map(tokens: np.ndarray) -> bytes:
+    """:func:`parity` on a power of two of bits, at least eight for every token."""
+    width = max(8, (8 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens >> np.uint64(64 - width)).astype(np.int64), minlength=1 << width) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(maps: np.ndarray, size: int) -> np.ndarray:
+    """Rows of :func:`whole_map` as they are on fewer bits (``size`` bytes)."""
+    while maps.shape[1] > size:
+        bits = np.unpackbits(maps, axis=1)
+        maps = np.packbits(bits[:, ::2] ^ bits[:, 1::2], axis=1)
+    return maps
+
+
 def _buckets(spark: SparkSession) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -145,8 +169,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 _GATHERED = 2_000_000
 
 
-def heavy_tokens(docs: DataFrame) -> np.ndarray:
-    """Low halves of the tokens that are among the first of many documents, sorted."""
+def heavy_tokens(docs: DataFrame) -> Heavy:
+    """The tokens that are among the first of several documents."""
     spark = docs.sparkSession
     buckets = _buckets(spark)
 
@@ -179,11 +203,12 @@ def heavy_tokens(docs: DataFrame) -> np.ndarray:
     gathered = docs.select(F.col("text").cast("string")).mapInArrow(gather, "bucket int, low binary")
     counts = gathered.groupBy("bucket").applyInPandas(count, "low long, n long")
     most = counts.orderBy(F.col("n").desc(), "low").limit(MOST_HEAVY).toPandas()
-    return np.sort(most["low"].to_numpy(np.uint32))
+    most = most.sort_values("low")
+    return most["low"].to_numpy(np.uint32), np.log2(most["n"].to_numpy(float)).astype(np.uint8)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per row ``doc_id, row, n, node, b0 … b3, light, heavy``: set size, hash and bitmap of the set, first tokens."""
+    """Per row ``doc_id, row, n, node, b0 … b3, light, heavy, map``: set size, hash and bitmaps of the set, first tokens."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(heavy_tokens(docs))
 
@@ -195,12 +220,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                 tokens = shingler.tokens(text.as_py())
                 light, late = first_tokens(tokens, heavy)
                 node = int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
-                out.append((len(tokens), node, *parity(tokens), light.tobytes(), late.view(np.int64)))
-            kinds = (*[pa.int64()] * 6, pa.binary(), pa.list_(pa.int64()))
+                out.append((len(tokens), node, *parity(tokens), light.tobytes(), late.view(np.int64), whole_map(tokens) if len(tokens) else b""))
+            kinds = (*[pa.int64()] * 6, pa.binary(), pa.list_(pa.int64()), pa.binary())
             columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "row", "n", "node", *BITS, "light", "heavy"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "row", "n", "node", *BITS, "light", "heavy", "map"])
 
-    sketched = _rows(docs).mapInArrow(sketch, "doc_id long, row long, n long, node long, b0 long, b1 long, b2 long, b3 long, light binary, heavy array<long>")
+    sketched = _rows(docs).mapInArrow(sketch, "doc_id long, row long, n long, node long, b0 long, b1 long, b2 long, b3 long, light binary, heavy array<long>, map binary")
     return materialize(sketched, "shingle-sketches")
 
 
@@ -266,33 +291,51 @@ def _near_bits(na: str, nb: str) -> str:
     return f"2 * ((4 * ({na} + {nb}) + 8) div 9) <= {na} + {nb} - ({differ})"
 
 
-def centre_pairs(tokens: DataFrame) -> DataFrame:
+#: Centres of a token: in the first round, and for nodes that these left alone, where more nodes hold it.
+CENTRES = 2
+MORE_CENTRES = 12
+
+
+def centre_pairs(tokens: DataFrame, linked: DataFrame | None = None) -> DataFrame:
     """``a, na, b, nb``: nodes and centres that can be similar.
 
     Each token has up to three centres among its nodes: the one with the most
     heavy tokens (in a group of near copies that which the others were made
-    from) and two by hash.
+    from) and two by hash. With ``linked`` (``node``), the nodes without a link
+    meet further centres of the tokens that more nodes hold.
     """
     node = F.struct(F.col("node").alias("b"), F.col("n").alias("nb"), *[F.col(b).alias(y) for b, y in zip(BITS, OTHER, strict=True)])
-    ranks = ("late", F.xxhash64("node", F.lit(1)), F.xxhash64("node", F.lit(2)))
+    if linked is None:
+        ranks, asking, enough = ["late", *(F.xxhash64("node", F.lit(k + 1)) for k in range(CENTRES))], tokens, 1
+    else:
+        ranks, enough = [F.xxhash64("node", F.lit(CENTRES + k + 1)) for k in range(MORE_CENTRES)], CENTRES + 1
+        asking = tokens.join(linked, "node", "left_anti")
     best = [F.max_by(node, rank).alias(f"m{k}") for k, rank in enumerate(ranks)]
-    centre = tokens.groupBy("token").agg(*best).select("token", F.inline(F.array_distinct(F.array("m0", "m1", "m2"))))
+    centre = tokens.groupBy("token").agg(F.count("*").alias("held"), *best).where(F.col("held") > enough)
+    centre = centre.select("token", F.inline(F.array_distinct(F.array(*[f"m{k}" for k in range(len(best))]))))
     fits = f"node <> b and 5 * least(n, nb) >= 4 * greatest(n, nb) and {_near_bits('n', 'nb')}"
-    met = tokens.join(centre, "token").where(fits)
+    met = asking.join(centre, "token").where(fits)
     counted = met.groupBy(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb").agg(F.count("*").alias("c"))
     return _possible(counted).select("a", "na", "b", "nb")
 
 
-def group_pairs(tokens: DataFrame, roots: DataFrame) -> DataFrame:
-    """``a, na, b, nb``: pairs of different groups that can be similar, through the token-group matrix.
+def _labels(roots: DataFrame) -> DataFrame:
+    """``node, root`` with the roots themselves."""
+    return roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root")).distinct()
+
+
+def group_pairs(tokens: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of different groups that can be similar, through the token-group matrix.
+
+    ``a, na, b, nb`` of nodes that are groups of their own; the tokens with
+    their groups; ``node, g`` of the groups of several that are opened for a node.
 
     A group of one node is its own row of the matrix; with its bitmap, and with
     the count of common tokens, the pair is judged at once. Groups of several
     are opened if their union leaves them possible. Each pair of groups is met
     from one side: a node asks groups above its own, and groups of several.
     """
-    label = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root")).distinct()
-    grouped = tokens.join(label, "node", "left").withColumn("many", F.col("root").isNotNull()).withColumn("g", F.coalesce("root", "node"))
+    grouped = tokens.join(_labels(roots), "node", "left").withColumn("many", F.col("root").isNotNull()).withColumn("g", F.coalesce("root", "node"))
     grouped = materialize(grouped.select("token", "node", "n", *BITS, "g", "many"), "shingle-groups")
     matrix = grouped.groupBy("token", F.col("g").alias("other"), F.col("many").alias("many_other")).agg(
         F.min("n").alias("least"), F.max("n").alias("most"), *[F.min(b).alias(y) for b, y in zip(BITS, OTHER, strict=True)]
@@ -309,7 +352,7 @@ def group_pairs(tokens: DataFrame, roots: DataFrame) -> DataFrame:
     reach = bound.where("many_other").withColumn("low", F.expr("greatest(least, (4 * n + 4) div 5)")).withColumn("high", F.expr("least(most, (5 * n) div 4)"))
     opened = reach.where(f"low <= high and c >= greatest(1, least({_needed('n', 'low')}, {_needed('n', 'high')}) - 1)")
     opened = materialize(opened.select("node", F.col("other").alias("g")), "shingle-opened")
-    return alone.union(_opened_pairs(grouped, opened))
+    return alone, grouped, opened
 
 
 #: Members of a group and queries that meet in one task.
@@ -317,20 +360,23 @@ BLOCK_MEMBERS = 256
 BLOCK_QUERIES = 2_048
 
 
-def _opened_pairs(grouped: DataFrame, opened: DataFrame) -> DataFrame:
+def _opened_pairs(grouped: DataFrame, opened: DataFrame, maps: DataFrame, best: bool = False) -> DataFrame:
     """Pairs of queries and members of the groups opened for them, in blocks of both.
 
     A block counts the common first tokens of a query with all its members at
     once, so no row is made per common token; only pairs whose bounds hold leave it.
+    ``maps``: ``node, map``, the bitmaps that are sized by their sets. ``best``:
+    only the likeliest pair of a query and a block. Returns ``a, na, b, nb, g``.
     """
     packed = F.collect_list("token").alias("tokens")
-    own = ["node", "n", *BITS]
+    own = ["node", "n"]
     groups = opened.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("slices"))
     members = grouped.where("many").join(groups, "g").groupBy("g", "slices", *own).agg(packed)
+    members = materialize(members.join(maps, "node"), "shingle-members")
     parts = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("parts"))
     parts = materialize(parts.join(groups, "g"), "shingle-blocks")
-    asked = grouped.drop("g", "many").join(opened, "node").groupBy("g", *own).agg(packed)
-    every = [F.col(c).alias(c) for c in (*own, "tokens")]  # both sides come from one table
+    asked = grouped.drop("g", "many").join(opened, "node").groupBy("g", *own).agg(packed).join(maps, "node")
+    every = [F.col(c).alias(c) for c in (*own, "tokens", "map")]  # both sides come from one table
     members = members.drop("slices").join(parts, "g").select(
         F.col("g").alias("g"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), *every
     )
@@ -338,10 +384,10 @@ def _opened_pairs(grouped: DataFrame, opened: DataFrame) -> DataFrame:
         "g", F.pmod(F.xxhash64("node"), "slices").cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *every
     )
     key = ["g", "part", "slice"]
-    return members.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_met_members, "a long, na long, b long, nb long")
+    return members.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(functools.partial(_met_members, best=best), "a long, na long, b long, nb long, g long")
 
 
-def _met_members(members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+def _met_members(members: pd.DataFrame, asked: pd.DataFrame, best: bool) -> pd.DataFrame:
     found = []
     if len(members) and len(asked):
         lists = [np.asarray(x, np.int64) for x in members["tokens"]]
@@ -349,18 +395,31 @@ def _met_members(members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         held = np.zeros((len(union), len(lists)), np.uint8)
         held[at, np.repeat(np.arange(len(lists)), [len(x) for x in lists])] = 1
         node, nb = members["node"].to_numpy(), members["n"].to_numpy()
-        bits = np.ascontiguousarray(members[list(BITS)].to_numpy(np.int64))
+        size = np.array([len(x) for x in members["map"]])
+        maps = {z: np.frombuffer(b"".join(members["map"][size == z]), np.uint8).reshape(-1, z) for z in set(size.tolist())}
+        on_fewer: dict[tuple[int, int], np.ndarray] = {}
         left = np.maximum(0, (4 * nb + 4) // 5 - EXTRA)
-        for a, na, *own, tokens in asked[["node", "n", *BITS, "tokens"]].itertuples(index=False):
+        for a, na, tokens, own in asked[["node", "n", "tokens", "map"]].itertuples(index=False):
             tokens = np.asarray(tokens, np.int64)
             slot = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
             common = held[slot[union[slot] == tokens]].sum(axis=0, dtype=np.int64)
-            differ = np.unpackbits((bits ^ np.array(own, np.int64)).view(np.uint8), axis=1).sum(axis=1, dtype=np.int64)
             overlap = (4 * (na + nb) + 8) // 9
             needed = np.maximum(1, overlap - np.maximum(left, max(0, (4 * na + 4) // 5 - EXTRA)))
-            fits = (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)) & (2 * overlap <= na + nb - differ) & (common >= needed)
-            found.append(pd.DataFrame({"a": a, "na": na, "b": node[fits], "nb": nb[fits]}))
-    return pd.concat(found) if found else pd.DataFrame({c: np.empty(0, np.int64) for c in ("a", "na", "b", "nb")})
+            fits = (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)) & (common >= needed)
+            spare = np.zeros(len(nb), np.int64)
+            for z in set(size[fits].tolist()):
+                z0 = min(z, len(own))
+                if (z, z0) not in on_fewer:
+                    on_fewer[z, z0] = folded(maps[z], z0)
+                mine = folded(np.frombuffer(own, np.uint8).reshape(1, -1), z0)
+                at = np.flatnonzero((size == z) & fits)
+                differ = np.bitwise_count(on_fewer[z, z0][np.searchsorted(np.flatnonzero(size == z), at)] ^ mine).sum(axis=1, dtype=np.int64)
+                spare[at] = na + nb[at] - differ - 2 * overlap[at]
+                fits[at] = spare[at] >= 0
+            if best and fits.any():
+                fits = np.flatnonzero(fits)[[np.argmax(spare[fits])]]
+            found.append(pd.DataFrame({"a": a, "na": na, "b": node[fits], "nb": nb[fits], "g": members["g"].iloc[0]}))
+    return pd.concat(found) if found else pd.DataFrame({c: np.empty(0, np.int64) for c in ("a", "na", "b", "nb", "g")})
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -424,14 +483,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id``, ``row`` (hash of id and text), ``root`` (key of its component)."""
     sketched = sketches(docs)
     same = [F.max(c).alias(c) for c in ("n", *BITS)]  # of equal sets
+    maps = sketched.where("n > 0").groupBy("node").agg(F.max("map").alias("map"))
     late = F.max(F.size("heavy")).alias("late")
     nodes = sketched.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), late, *same)
     nodes = materialize(nodes, "shingle-nodes")
     tokens = shared_tokens(sketched, nodes)
-    around = verified(docs, nodes.select("node", "row"), centre_pairs(tokens))
+    keyed = nodes.select("node", "row")
+    around = verified(docs, keyed, centre_pairs(tokens))
+    linked = materialize(around.select(F.col("u").alias("node")).union(around.select(F.col("v").alias("node"))).distinct(), "shingle-linked")
+    around = around.union(verified(docs, keyed, centre_pairs(tokens, linked)))
     roots = materialize(components(around), "shingle-roots")
-    across = verified(docs, nodes.select("node", "row"), group_pairs(tokens, roots))
-    roots = components(across.union(roots.select("node", "root")))
+    alone, grouped, opened = group_pairs(tokens, roots)
+    # one link joins a node to a group, so first the likeliest is tried; whom that leaves apart meets all members
+    tried = materialize(_opened_pairs(grouped, opened, maps, best=True), "shingle-likeliest")
+    likeliest = verified(docs, keyed, tried.select("a", "na", "b", "nb"))
+    edges = likeliest.union(roots.select("node", "root"))
+    joined = materialize(components(edges), "shingle-joined")
+    of_node = _labels(joined)
+    of_group = of_node.select(F.col("node").alias("g"), F.col("root").alias("of_g"))
+    apart = F.coalesce("root", "node") != F.coalesce("of_g", "g")
+    unsettled = tried.select(F.col("a").alias("node"), "g").distinct()
+    unsettled = unsettled.join(of_node, "node", "left").join(of_group, "g", "left").where(apart).select("node", "g")
+    unsettled = materialize(unsettled, "shingle-unsettled")
+    rest = _opened_pairs(grouped, unsettled, maps).select("a", "na", "b", "nb")
+    across = verified(docs, keyed, alone.union(rest))
+    roots = components(across.union(edges))
     labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "least_id")
     smallest = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_node = materialize(labelled.join(smallest, "root").select("node", "root", "component_id"), "shingle-components")

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from panelforge.llm import ngram_join
@@ -67,3 +68,38 @@ def test_chains_of_near_copies_and_common_passages(spark, monkeypatch, heavy):
     rows += [(1000 + k, " ".join(passage + [word()] * (k % 3))) for k in range(8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter(run(docs)) == Counter(expected(rows))
+
+
+def test_large_groups_are_linked_without_all_their_pairs(spark, monkeypatch):
+    """Copies of one text with some words replaced: half of the pairs are links, few need to be looked at."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for k in range(150):
+        words = list(base)
+        for at in rng.sample(range(300), 2 + k % 3):
+            words[at] = f"n{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    looked_at = []
+    verified = ngram_join.verified
+
+    def counting(docs, nodes, pairs):
+        looked_at.append(pairs.count())
+        return verified(docs, nodes, pairs)
+
+    monkeypatch.setattr(ngram_join, "verified", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(run(docs)) == Counter(expected(rows))
+    assert sum(looked_at) < 12 * len(rows)
+
+
+def test_bitmaps_of_different_sizes_bound_the_difference():
+    rng = random.Random(8)
+    for _ in range(50):
+        common = [rng.getrandbits(64) for _ in range(rng.randrange(200))]
+        sets = [np.unique(np.array(common + [rng.getrandbits(64) for _ in range(rng.randrange(1, 300))], np.uint64)) for _ in range(2)]
+        maps = [np.frombuffer(ngram_join.whole_map(x), np.uint8).reshape(1, -1) for x in sets]
+        size = min(x.shape[1] for x in maps)
+        a, b = (ngram_join.folded(x, size) for x in maps)
+        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(*sets))
+        assert np.array_equal(a, np.frombuffer(ngram_join.whole_map(sets[0]), np.uint8).reshape(1, -1)) or size < maps[0].shape[1]

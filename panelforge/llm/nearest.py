@@ -31,7 +31,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,17 +42,19 @@ K = 20
 QUERY_EVERY = 20
 
 #: Projected dimensions, and the least probability that a true neighbour is met.
-DIMENSIONS = 12
-SURE = 0.97
+DIMENSIONS = 32
+SURE = 0.92
 
 #: The upper tree: rows in its sample, most levels, and rows of a block.
 SAMPLE_ROWS = 20_000
 MOST_LEVELS = 10
 BLOCK_ROWS = 4_096
 
-#: Queries that a block takes at once, and rows of its small leaves.
+#: Queries that a task takes with a block, queries measured at once, rows of a block's small leaves, rows verified at once.
 BLOCK_QUERIES = 10_000
+QUERY_RUN = 256
 SMALL_LEAF = 32
+RUN_ROWS = 256
 
 
 def chi_square_bound(sure: float, dimensions: int) -> float:
@@ -114,19 +116,19 @@ def leaf_of(tree: list[np.ndarray], points: np.ndarray) -> np.ndarray:
 class Block:
     """Rows of a block in a kd-tree of small leaves."""
 
-    def __init__(self, rows: pd.DataFrame, k: int):
+    def __init__(self, rows: pd.DataFrame, largest: float, k: int):
         rows = rows.sort_values("vec_id").drop_duplicates("vec_id")
-        v, p = np.stack(rows["v"].to_numpy()), np.stack(rows["p"].to_numpy())
+        v = np.stack(rows["v"].to_numpy())
         # of equal vectors no query needs more than its k best and its own row
         same = np.unique(v, axis=0, return_inverse=True)[1].reshape(-1)
         nth = pd.Series(same).groupby(same).cumcount().to_numpy()
         keep = nth <= k
-        ids, v, p = rows["vec_id"].to_numpy()[keep], v[keep], p[keep]
+        ids, v = rows["vec_id"].to_numpy()[keep], v[keep]
+        p = project(v, (v * v).sum(axis=1), largest)
         leaves = self._cut(p, np.arange(len(p)))
         order = np.concatenate(leaves)
-        self.ids, self.v = ids[order], v[order]
-        ends = np.cumsum([len(x) for x in leaves])
-        self.spans = list(zip((ends - [len(x) for x in leaves]).tolist(), ends.tolist(), strict=True))
+        self.ids, self.v, self.p, self.largest, self.k = ids[order], v[order], p[order], largest, k
+        self.leaf = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
         self.low = np.array([p[x].min(axis=0) for x in leaves])
         self.high = np.array([p[x].max(axis=0) for x in leaves])
 
@@ -137,36 +139,52 @@ class Block:
         order = at[np.argsort(p[at, dim], kind="stable")]
         return self._cut(p, order[: len(at) // 2]) + self._cut(p, order[len(at) // 2 :])
 
-    def search(self, query_id: int, q: np.ndarray, pq: np.ndarray, known: float, largest: float, bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and inner products of the best ``k``; ``known`` is a k-th squared distance found elsewhere."""
-        gap = np.maximum(0.0, np.maximum(self.low - pq, pq - self.high))
-        box = (gap * gap).sum(axis=1)
-        far = largest + float((q * q).sum())
-        ids, scores, kth = np.empty(0, np.int64), np.empty(0), known
-        for leaf in np.argsort(box, kind="stable").tolist():
-            if box[leaf] > bound * kth:
-                break
-            a, b = self.spans[leaf]
+    def distances(self, pq: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the leaves that lie within ``reach`` of any of the queries, and their squared projected distances."""
+        box = np.zeros((len(pq), len(self.low)))
+        for d in range(pq.shape[1]):
+            gap = np.maximum(0.0, np.maximum(self.low[:, d] - pq[:, d, None], pq[:, d, None] - self.high[:, d]))
+            box += gap * gap
+        at = np.flatnonzero((box <= reach[:, None]).any(axis=0)[self.leaf])
+        p = self.p[at]
+        return at, (pq * pq).sum(axis=1)[:, None] + (p * p).sum(axis=1) - 2 * pq @ p.T
+
+    def search(self, query_id: int, q: np.ndarray, at: np.ndarray, far: np.ndarray, known: float, bound: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and inner products of the best ``k`` among the rows ``at``, which are ``far`` in the projection.
+
+        ``known`` is a k-th squared distance found elsewhere. Rows are verified
+        in runs, nearest in the projection first, until the test holds.
+        """
+        near = np.flatnonzero(far <= bound * known)
+        near = near[np.argsort(far[near], kind="stable")]
+        norm = self.largest + float((q * q).sum())
+        ids, scores, kth, done = np.empty(0, np.int64), np.empty(0), known, 0
+        while done < len(near) and far[near[done]] <= bound * kth:
+            some = at[near[done : done + RUN_ROWS]]
+            done += RUN_ROWS
+            some = some[self.ids[some] != query_id]
             # row sums, not a matrix product: equal vectors get equal scores wherever they stand
-            got = (self.v[a:b] * q).sum(axis=1)
-            other = self.ids[a:b] != query_id
-            ids, scores = np.append(ids, self.ids[a:b][other]), np.append(scores, got[other])
-            best = np.lexsort((ids, -scores))[:k]
+            ids, scores = np.append(ids, self.ids[some]), np.append(scores, (self.v[some] * q).sum(axis=1))
+            best = np.lexsort((ids, -scores))[: self.k]
             ids, scores = ids[best], scores[best]
-            if len(ids) == k:
-                kth = min(known, max(0.0, far - 2 * scores[-1]))
+            if len(ids) == self.k:
+                kth = min(known, max(0.0, norm - 2 * scores[-1]))
         return ids, scores
 
 
 def _search_block(rows: pd.DataFrame, queries: pd.DataFrame, largest: float, bound: float, k: int) -> pd.DataFrame:
     found = {"query_id": [], "vec_id": [], "score": []}
     if len(rows) and len(queries):
-        block = Block(rows, k)
-        for query_id, q, pq, known in queries[["query_id", "q", "pq", "known"]].itertuples(index=False):
-            ids, scores = block.search(query_id, np.asarray(q), np.asarray(pq), known, largest, bound, k)
-            found["query_id"].append(np.full(len(ids), query_id))
-            found["vec_id"].append(ids)
-            found["score"].append(scores)
+        block = Block(rows, largest, k)
+        for start in range(0, len(queries), QUERY_RUN):
+            some = queries.iloc[start : start + QUERY_RUN]
+            q, known = np.stack(some["q"].to_numpy()), some["known"].to_numpy()
+            at, far = block.distances(q @ projection(q.shape[1])[:-1], bound * known)
+            for i, query_id in enumerate(some["query_id"].tolist()):
+                ids, scores = block.search(query_id, q[i], at, far[i], known[i], bound)
+                found["query_id"].append(np.full(len(ids), query_id))
+                found["vec_id"].append(ids)
+                found["score"].append(scores)
     return pd.DataFrame({c: np.concatenate(x) if x else [] for c, x in found.items()})
 
 
@@ -182,6 +200,11 @@ def nearest(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, sure: floa
     return functools.reduce(DataFrame.union, parts, empty)
 
 
+def _by_leaf(numbers: dict[int, int]) -> Column:
+    """A number per leaf of the upper tree, as a column."""
+    return F.element_at(F.create_map(*[F.lit(int(x)) for pair in numbers.items() for x in pair]), F.col("leaf").cast("int"))
+
+
 def _nearest_of_length(rows: DataFrame, largest: float, n: int, k: int, every: int, sure: float) -> DataFrame:
     bound = chi_square_bound(sure, DIMENSIONS)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v", "norm2").toPandas()
@@ -191,76 +214,75 @@ def _nearest_of_length(rows: DataFrame, largest: float, n: int, k: int, every: i
     def place(parts):
         for part in parts:
             if len(part):
-                v = np.stack(part["v"].to_numpy())
-                p = project(v, part["norm2"].to_numpy(), largest)
-                yield pd.DataFrame({"vec_id": part["vec_id"], "v": part["v"], "p": list(p), "leaf": leaf_of(tree, p)})
+                p = project(np.stack(part["v"].to_numpy()), part["norm2"].to_numpy(), largest)
+                ends = {f"p{d}": p[:, d] for d in range(DIMENSIONS)}
+                yield pd.DataFrame({"vec_id": part["vec_id"], "v": part["v"], "leaf": leaf_of(tree, p), **ends})
 
-    placed = materialize(rows.mapInPandas(place, "vec_id long, v array<double>, p array<double>, leaf long"), "near-placed")
-    ranges = [F.min(F.col("p")[d]).alias(f"l{d}") for d in range(DIMENSIONS)] + [F.max(F.col("p")[d]).alias(f"h{d}") for d in range(DIMENSIONS)]
+    coordinates = ", ".join(f"p{d} double" for d in range(DIMENSIONS))
+    placed = materialize(rows.mapInPandas(place, f"vec_id long, v array<double>, leaf long, {coordinates}"), "near-placed")
+    ranges = [side(f"p{d}").alias(f"{name}{d}") for name, side in (("l", F.min), ("h", F.max)) for d in range(DIMENSIONS)]
     # one row per leaf of the upper tree, whose number is bounded
     leaves = placed.groupBy("leaf").agg(F.count("*").alias("n"), *ranges).toPandas().sort_values("leaf")
     low, high = (leaves[[f"{side}{d}" for d in range(DIMENSIONS)]].to_numpy() for side in "lh")
     numbers = leaves["leaf"].to_numpy()
     blocks = np.maximum(1, -(-leaves["n"].to_numpy() // BLOCK_ROWS))
     count_of = dict(zip(numbers.tolist(), blocks.tolist(), strict=True))
-    slices = 1 + n // (every * BLOCK_QUERIES)
-
-    spread = F.element_at(F.create_map(*[F.lit(int(x)) for pair in count_of.items() for x in pair]), F.col("leaf").cast("int"))
-    dealt = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), spread)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-
-    projected = project_queries(placed, largest, every)
-    queries = projected.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int")).dropDuplicates(["query_id"])
-    queries = materialize(queries, "near-queries")
+    dealt = placed.select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id"), _by_leaf(count_of)).alias("block"))
+    queries = placed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    queries = materialize(queries.dropDuplicates(["query_id"]), "near-queries")
+
+    def boxes(part):
+        """Per query the squared projected distance to the box of every leaf."""
+        q = np.stack(part["q"].to_numpy())
+        for p in q @ projection(q.shape[1])[:-1]:
+            gap = np.maximum(0.0, np.maximum(low - p, p - high))
+            yield (gap * gap).sum(axis=1)
+
+    def home(part):
+        """The nearest leaf, and one of its blocks."""
+        return [[(at := int(np.argmin(box)), int(i % blocks[at]))] for i, box in zip(part["query_id"], boxes(part), strict=True)]
+
+    def opened(part):
+        """Every block of the leaves that the stopping test leaves open."""
+        bounds = zip(part["known"], boxes(part), strict=True)
+        return [[(at, b) for at in np.flatnonzero(box <= bound * known) for b in range(blocks[at])] for known, box in bounds]
 
-    def home(parts):
-        for part in parts:
-            if len(part):
-                leaf = leaf_of(tree, np.stack(part["pq"].to_numpy()))
-                # a leaf without rows: the nearest one
-                gap = [np.argmin(np.maximum(0, np.maximum(low - p, p - high)).sum(axis=1)) for p in part["pq"]]
-                known = np.isin(leaf, numbers)
-                leaf = np.where(known, leaf, numbers[np.array(gap)])
-                block = part["query_id"].to_numpy() % np.array([count_of[x] for x in leaf.tolist()])
-                yield part.assign(known=np.inf, leaf=leaf, block=block)
-
-    def opened(parts):
-        for part in parts:
-            out = []
-            for row in part.itertuples(index=False):
-                gap = np.maximum(0.0, np.maximum(low - row.pq, row.pq - high))
-                for at in np.flatnonzero((gap * gap).sum(axis=1) <= bound * row.known):
-                    out += [(row.query_id, row.q, row.pq, row.slice, row.known, int(numbers[at]), b) for b in range(blocks[at])]
-            yield pd.DataFrame(out, columns=["query_id", "q", "pq", "slice", "known", "leaf", "block"])
-
-    asked = "query_id long, q array<double>, pq array<double>, slice int, known double, leaf long, block long"
-    key = ["leaf", "block", "slice"]
     search = functools.partial(_search_block, largest=largest, bound=bound, k=k)
-
-    def searched(some: DataFrame) -> DataFrame:
-        return dealt.groupBy(*key).cogroup(some.groupBy(*key)).applyInPandas(search, FOUND)
-
-    first = searched(queries.mapInPandas(home, asked))
+    asked = "query_id long, q array<double>, known double, leaf long, block long"
+
+    def searched(some: DataFrame, chosen) -> DataFrame:
+        def count(parts):
+            seen = np.zeros((len(numbers), int(blocks.max())), np.int64)
+            for part in parts:
+                if len(part):
+                    np.add.at(seen, tuple(np.array([x for one in chosen(part) for x in one], np.int64).reshape(-1, 2).T), 1)
+            yield pd.DataFrame({"leaf": numbers, "most": seen.max(axis=1)})
+
+        def send(parts):
+            for part in parts:
+                if len(part):
+                    pairs = zip(part["query_id"], part["q"], part["known"], chosen(part), strict=True)
+                    out = [(i, q, known, int(numbers[at]), b) for i, q, known, one in pairs for at, b in one]
+                    yield pd.DataFrame(out, columns=["query_id", "q", "known", "leaf", "block"])
+
+        # a block is repeated only as often as its own queries fill a task
+        most = some.mapInPandas(count, "leaf long, most long").groupBy("leaf").agg(F.sum("most").alias("most")).collect()
+        of_leaf = dict.fromkeys(count_of, 1) | {r["leaf"]: max(1, -(-r["most"] // BLOCK_QUERIES)) for r in most}
+        slices = _by_leaf(of_leaf)
+        left = dealt.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+        right = some.mapInPandas(send, asked).withColumn("slice", F.pmod(F.xxhash64("query_id"), slices).cast("int"))
+        key = ["leaf", "block", "slice"]
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, FOUND)
+
+    first = searched(queries.withColumn("known", F.lit(float("inf"))), home)
     worst = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("found"))
     norm = F.aggregate("q", F.lit(0.0), lambda a, x: a + x * x)
     kth = F.when(F.col("found") >= k, F.greatest(F.lit(0.0), F.lit(largest) + norm - 2 * F.col("least"))).otherwise(F.lit(float("inf")))
-    bounded = queries.join(worst, "query_id", "left").select("query_id", "q", "pq", "slice", F.coalesce(kth, F.lit(float("inf"))).alias("known"))
-    found = searched(materialize(bounded, "near-bounds").mapInPandas(opened, asked))
+    bounded = queries.join(worst, "query_id", "left").select("query_id", "q", F.coalesce(kth, F.lit(float("inf"))).alias("known"))
+    found = searched(materialize(bounded, "near-bounds"), opened)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def project_queries(placed: DataFrame, largest: float, every: int) -> DataFrame:
-    """``query_id, q, pq``: the query has no further component, unlike the rows."""
-
-    def of(parts):
-        for part in parts:
-            if len(part):
-                v = np.stack(part["v"].to_numpy())
-                yield pd.DataFrame({"query_id": part["vec_id"], "q": part["v"], "pq": list(v @ projection(v.shape[1])[:-1])})
-
-    some = placed.where(F.col("vec_id") % every == 0).select("vec_id", "v")
-    return some.mapInPandas(of, "query_id long, q array<double>, pq array<double>")
-
-
 def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"))

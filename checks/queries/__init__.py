@@ -1,3 +1,3 @@
 """All registered queries; importing a module registers its queries."""
 
-from checks.queries import data, reports, series, cleaning, selection, models, per_key, governance, live, stored  # noqa: F401
+from checks.queries import data, reports, series, cleaning, selection, models, per_key, arima, governance, live, stored  # noqa: F401

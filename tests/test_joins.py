@@ -4,7 +4,13 @@ import random
 from pyspark.sql import functions as F
 
 from panelforge.operators.features import add_transaction_features, valid_orders
-from panelforge.operators.joins import build_master_table, hot_keys, left_join_children, order_grain_master
+from panelforge.operators.joins import (
+    build_master_table,
+    hot_keys,
+    left_join_children,
+    order_grain_master,
+    written_hot_keys,
+)
 from panelforge.operators.panel import AGGREGATES, monthly_aggregate, monthly_from_orders, trim_edge_months
 
 
@@ -134,3 +140,16 @@ def test_more_hot_keys_than_any_fixed_list(spark):
     cut = left_join_children(parent, [child, other], "k", rows_per_slice=2)
     plain = parent.join(child, "k", "left").join(other, "k", "left")
     assert bag(cut, ["k", "v", "w"]) == bag(plain, ["k", "v", "w"])
+
+
+def test_counting_hot_keys_is_not_left_to_one_task(spark):
+    # a folded write would count every key in the one task that writes
+    rows = spark.createDataFrame([(f"o{k}",) for k in range(200) for _ in range(1 + k % 3)], "order_id string")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot = written_hot_keys([rows, rows.limit(9)], "order_id", rows_per_slice=1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert hot.count() == 133
+    assert len(hot.inputFiles()) > 1

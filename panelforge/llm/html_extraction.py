@@ -8,8 +8,8 @@ all is held by others, have none. To take the template out, pages of a host are
 dealt to small groups by hash, and each DOM tree is aligned with its neighbour by
 simple tree matching: nodes of equal tag and role match, and among ordered
 children the matching of the largest weight is taken (equal first and last children
-belong to one, so only what lies between them is searched, and very long stretches are
-first cut at the children that are equal). Slots that several pages
+belong to one, so only what lies between them is searched, by one table however long
+it is). Slots that several pages
 of a group hold but no alignment matches have moved and stay.
 What HTML itself marks as no content (navigation, forms,
 scripts, or elements with a class or id of advert, comments and the like) goes
@@ -35,14 +35,15 @@ Defined results:
 
 from __future__ import annotations
 
-import bisect
 import functools
 import hashlib
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ LEAST_VOTERS = 2
 #: Depth of block elements up to which they nest.
 DEPTH = 256
 
-#: Cells of a matching table; longer stretches of children are cut at equal ones first.
+#: Cells of matching tables held at one time; rows let go are worked out again, with the same results.
 CELLS = 1_000_000
 
 # Fixed values of HTML: elements by what they do to the text.
@@ -393,6 +394,10 @@ def _same(x: Node | str, y: Node | str) -> bool:
     return x.whole == y.whole
 
 
+def _content(child: Node | str) -> str | bytes:
+    return child if isinstance(child, str) else child.whole
+
+
 def _sign(child: Node | str) -> str:
     return "#text" if isinstance(child, str) else child.sign
 
@@ -407,7 +412,7 @@ class Matching:
     def __init__(self, a: Node, b: Node):
         self.texts = measure(a), measure(b)
         self.roots = a, b
-        self.found: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+        self.found: dict[tuple[bytes, bytes], tuple[int, list[tuple[int, int]]]] = {}
 
     def pairs(self) -> Iterator[tuple[Node, int, Node, int]]:
         """The matched text blocks: node and place among its children, of both trees."""
@@ -436,10 +441,14 @@ class Matching:
 
     def align(self, a: Node, b: Node) -> tuple[int, list[tuple[int, int]]]:
         """Weight and pairs of the best ordered matching of two nodes' children."""
-        key = id(a), id(b)
-        if key not in self.found:
-            self.found[key] = self._aligned(a, b)
-        return self.found[key]
+        key = a.whole, b.whole
+        known = self.found.get(key)
+        if known is None:
+            known = self._aligned(a, b)
+            if len(self.found) >= CELLS:
+                self.found.clear()
+            self.found[key] = known
+        return known
 
     def _aligned(self, a: Node, b: Node) -> tuple[int, list[tuple[int, int]]]:
         m, n = len(a.children), len(b.children)
@@ -456,74 +465,64 @@ class Matching:
         mine, other = a.children[head : m - tail], b.children[head : n - tail]
         if self._apart(mine, other):
             return 1 + same + min(len(mine), len(other)), [*ends[0], *ends[1]]
-        weight, chosen = self._cut(mine, other) if len(mine) * len(other) > CELLS else self._between(mine, other)
+        weight, chosen = self._between(mine, other)
         return 1 + same + weight, [*ends[0], *((head + i, head + j) for i, j in chosen), *ends[1]]
 
-    def _cut(self, a: list[Node | str], b: list[Node | str]) -> tuple[int, list[tuple[int, int]]]:
-        """Matching of long stretches: the longest run in order of equal children (the k-th with the k-th), and what lies between them."""
-
-        def numbered(children: list[Node | str]) -> list[tuple[str | bytes, int]]:
-            seen: Counter[str | bytes] = Counter()
-            keys = []
-            for child in children:
-                key = child if isinstance(child, str) else child.whole
-                seen[key] += 1
-                keys.append((key, seen[key]))
-            return keys
-
-        place = {key: j for j, key in enumerate(numbered(b))}
-        equal = [(i, place[key]) for i, key in enumerate(numbered(a)) if key in place]
-        ends: list[int] = []
-        last: list[int] = []
-        before: list[int] = []
-        for at, (_, j) in enumerate(equal):
-            k = bisect.bisect_left(ends, j)
-            before.append(last[k - 1] if k else -1)
-            ends[k : k + 1], last[k : k + 1] = [j], [at]
-        run: list[tuple[int, int]] = []
-        at = last[-1] if last else -1
-        while at >= 0:
-            run.append(equal[at])
-            at = before[at]
-        weight, chosen, i, j = 0, [], 0, 0
-        for x, y in [*run[::-1], (len(a), len(b))]:
-            mine, other = a[i:x], b[j:y]
-            if mine and other and len(mine) * len(other) <= CELLS and not self._apart(mine, other):
-                more, inner = self._between(mine, other)
-                weight += more
-                chosen += [(i + p, j + q) for p, q in inner]
-            if x < len(a):
-                weight += 3 if isinstance(a[x], str) else a[x].weight
-                chosen.append((x, y))
-            i, j = x + 1, y + 1
-        return weight, chosen
-
     def _between(self, a: list[Node | str], b: list[Node | str]) -> tuple[int, list[tuple[int, int]]]:
+        """The matching of the largest weight; of its table, only some rows and those around the way back are held."""
         m, n = len(a), len(b)
-        mine, other = [_sign(c) for c in a], [_sign(c) for c in b]
-        weights: list[list[int]] = [[0] * (n + 1) for _ in range(m + 1)]
-        own: dict[tuple[int, int], int] = {}
+        #: Equal children weigh the same, so each distinct pair is weighed once.
+        kinds: dict[str | bytes, int] = {}
+        of_b = np.array([kinds.setdefault(_content(y), len(kinds)) for y in b])
+        distinct = list({_content(y): y for y in b}.values())
+        weighed: dict[str | bytes, np.ndarray] = {}
+
+        def against(x: Node | str) -> np.ndarray:
+            """Weight of a child with each child of ``b``, 0 if they do not match."""
+            found = weighed.get(_content(x))
+            if found is None:
+                if len(weighed) * len(distinct) >= CELLS:
+                    weighed.clear()
+                found = weighed[_content(x)] = np.array([self._weight(x, y) for y in distinct])
+            return found[of_b]
+
+        def next_row(i: int, above: np.ndarray) -> np.ndarray:
+            own, row = against(a[i - 1]), above.copy()
+            np.maximum(row[1:], np.where(own > 0, above[:-1] + own, 0), out=row[1:])
+            return np.maximum.accumulate(row)
+
+        step = max(CELLS // (n + 1), math.isqrt(m), 1)
+        kept: list[np.ndarray] = []
+        rows = [np.zeros(n + 1, dtype=np.int64)]
         for i in range(1, m + 1):
-            x, row, above = a[i - 1], weights[i], weights[i - 1]
-            for j in range(1, n + 1):
-                best = above[j] if above[j] >= row[j - 1] else row[j - 1]
-                if mine[i - 1] == other[j - 1]:
-                    y = b[j - 1]
-                    w = (3 if x == y else 1) if isinstance(x, str) else self.align(x, y)[0]
-                    own[i, j] = w
-                    if above[j - 1] + w > best:
-                        best = above[j - 1] + w
-                row[j] = best
-        chosen, i, j = [], m, n
+            if len(rows) == step + 1:
+                kept.append(rows[0])
+                rows = rows[-1:]
+            rows.append(next_row(i, rows[-1]))
+        weight, chosen, i, j, start = int(rows[-1][n]), [], m, n, len(kept) * step
         while i and j:
-            if (i, j) in own and weights[i][j] == weights[i - 1][j - 1] + own[i, j]:
+            if i == start:
+                start -= step
+                rows = [kept.pop()]
+                for k in range(start + 1, i + 1):
+                    rows.append(next_row(k, rows[-1]))
+            row, above = rows[i - start], rows[i - start - 1]
+            own = self._weight(a[i - 1], b[j - 1])
+            if own and row[j] == above[j - 1] + own:
                 chosen.append((i - 1, j - 1))
                 i, j = i - 1, j - 1
-            elif weights[i][j] == weights[i - 1][j]:
+            elif row[j] == above[j]:
                 i -= 1
             else:
                 j -= 1
-        return weights[m][n], chosen[::-1]
+        return weight, chosen[::-1]
+
+    def _weight(self, x: Node | str, y: Node | str) -> int:
+        if _sign(x) != _sign(y):
+            return 0
+        if isinstance(x, str):
+            return 3 if x == y else 1
+        return self.align(x, y)[0]
 
 
 def moved_keys(trees: list[Node]) -> set[int]:
@@ -544,8 +543,9 @@ def moved_keys(trees: list[Node]) -> set[int]:
         number(tree, "")
         numbered.append(ids)
         held.update(set(ids.values()))
-    for k in range(len(trees) if len(trees) > 2 else len(trees) - 1):
-        other = (k + 1) % len(trees)
+    # every pair of neighbours once, in a ring
+    ring = [(k, (k + 1) % len(trees)) for k in range(len(trees))]
+    for k, other in {frozenset(pair): pair for pair in reversed(ring) if len(set(pair)) > 1}.values():
         for a, i, b, j in Matching(trees[k], trees[other]).pairs():
             key = numbered[k][id(a), i]
             if key == numbered[other][id(b), j]:

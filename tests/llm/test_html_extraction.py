@@ -4,7 +4,7 @@ import random
 import pytest
 
 from panelforge.llm import html_extraction
-from panelforge.llm.html_extraction import extract_group, main_texts, parse, slots
+from panelforge.llm.html_extraction import Matching, extract_group, main_texts, parse, slots
 
 SCHEMA = "page_id long, url string, html string, text string, host string, part int, groups int"
 
@@ -155,6 +155,21 @@ def test_long_stretches_cut_at_equal_children_match_like_whole_ones(monkeypatch)
         monkeypatch.undo()
 
 
+def test_the_heaviest_matching_at_any_size(monkeypatch):
+    # an equal child far off its place weighs less than the two that it would part
+    one, two = (f"<ul>{''.join(f'<li>{k}{n}</li>' for n in range(9))}%s</ul>" for k in "ab")
+    first = parse(one % "<li>x</li>" + two % "<li>x</li>" + "<p>same</p>")
+    second = parse("<p>same</p>" + one % "<li>y</li>" + two % "<li>y</li>")
+
+    def matched():
+        return sorted(a.children[i] for a, i, b, j in Matching(first, second).pairs() if a.children[i] == b.children[j])
+
+    whole = matched()
+    assert whole == sorted(f"{k}{n}" for k in "ab" for n in range(9))
+    monkeypatch.setattr(html_extraction, "CELLS", 2)
+    assert matched() == whole
+
+
 def test_deep_pages_in_a_job(spark):
     rows = [(i, f"http://h/{i}", "<div>" * 5_000 + f"<p>page {i}</p>", "x", "x", 0, 0) for i in range(3)]
     got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}

@@ -56,8 +56,8 @@ WORDS = 5
 #: First tokens kept beyond those that exactness needs; more of them tighten the bound.
 EXTRA = 2
 
-#: Tokens among the first of more documents than this come last in the order, at
-#: most so many of them (5 bytes each, broadcast). Any such list gives exact results.
+#: Tokens of more documents than this come last in the order, the most frequent
+#: so many of them (5 bytes each, broadcast). Any such list gives exact results.
 HEAVY_DOCS = 2
 MOST_HEAVY = 2_000_000
 
@@ -165,12 +165,18 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.col("text").cast("string").alias("text"))
 
 
-#: First tokens that a task gathers before it hands them on.
+#: Tokens that a task gathers before it hands them on.
 _GATHERED = 2_000_000
+#: Counts from here on are one when the list of frequent tokens is made to fit.
+_COUNTED = 1_000
 
 
 def heavy_tokens(docs: DataFrame) -> Heavy:
-    """The tokens that are among the first of several documents."""
+    """The tokens that several documents hold.
+
+    All tokens of a text are counted, not its first ones by hash: where frequent
+    ones make room, those next by hash may be as frequent.
+    """
     spark = docs.sparkSession
     buckets = _buckets(spark)
 
@@ -178,19 +184,21 @@ def heavy_tokens(docs: DataFrame) -> Heavy:
         shingler, parts, held = Shingler(), [], 0
 
         def packed() -> pa.RecordBatch:
-            low = (np.concatenate(parts) & _LOW32).astype(np.uint32)
-            rows = [(b, low[at].tobytes()) for b, at in _by_bucket(low % np.uint32(buckets), buckets)]
+            tokens = np.concatenate(parts)
+            low = (tokens & _LOW32).astype(np.uint32)
+            # dealt by the other half of a hash, so different tokens are hardly counted as one
+            rows = [(b, low[at].tobytes()) for b, at in _by_bucket((tokens >> np.uint64(32)).astype(np.int64) % buckets, buckets)]
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "low"]
             )
 
         for batch in batches:
             for text in batch.column(0):
-                parts.append(first_tokens(shingler.tokens(text.as_py()))[0])
+                parts.append(shingler.tokens(text.as_py()))
                 held += len(parts[-1])
-            if held > _GATHERED:
-                yield packed()
-                parts, held = [], 0
+                if held > _GATHERED:
+                    yield packed()
+                    parts, held = [], 0
         if held:
             yield packed()
 
@@ -201,9 +209,14 @@ def heavy_tokens(docs: DataFrame) -> Heavy:
 
     text_batches(spark)
     gathered = docs.select(F.col("text").cast("string")).mapInArrow(gather, "bucket int, low binary")
-    counts = gathered.groupBy("bucket").applyInPandas(count, "low long, n long")
-    most = counts.orderBy(F.col("n").desc(), "low").limit(MOST_HEAVY).toPandas()
-    most = most.sort_values("low")
+    counts = materialize(gathered.groupBy("bucket").applyInPandas(count, "low long, n long"), "shingle-counts")
+    # counts so low that the list has no room for them stay where they are
+    sizes = dict(counts.groupBy(F.least("n", F.lit(_COUNTED)).alias("n")).count().collect())
+    enough = _COUNTED
+    while enough > HEAVY_DOCS + 1 and sum(k for n, k in sizes.items() if n >= enough - 1) <= MOST_HEAVY:
+        enough -= 1
+    most = counts.where(F.col("n") >= enough).orderBy(F.col("n").desc(), "low").limit(MOST_HEAVY).toPandas()
+    most = most.groupby("low", as_index=False)["n"].max()  # sorted
     return most["low"].to_numpy(np.uint32), np.log2(most["n"].to_numpy(float)).astype(np.uint8)
 
 

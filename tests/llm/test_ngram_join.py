@@ -103,3 +103,19 @@ def test_bitmaps_of_different_sizes_bound_the_difference():
         a, b = (ngram_join.folded(x, size) for x in maps)
         assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(*sets))
         assert np.array_equal(a, np.frombuffer(ngram_join.whole_map(sets[0]), np.uint8).reshape(1, -1)) or size < maps[0].shape[1]
+
+
+def test_every_common_token_counts_as_frequent(spark, monkeypatch):
+    """Half of each text is a common passage; its shingles are frequent wherever their hashes lie in the order."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(80))
+    twice = " ".join(f"q{rng.randrange(10**6)}" for _ in range(80))
+    rows = [(k, " ".join(f"u{rng.randrange(10**6)}" for _ in range(80)) + " " + passage + (" " + twice if k < 4 else "")) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    low = {name: set((ngram_join.Shingler().tokens(text) & ngram_join._LOW32).tolist()) for name, text in (("all", passage), ("some", twice))}
+    found, power = ngram_join.heavy_tokens(docs)
+    assert low["all"] | low["some"] <= set(found.tolist())
+    assert (np.diff(found.astype(np.int64)) > 0).all() and len(power) == len(found)
+    monkeypatch.setattr(ngram_join, "MOST_HEAVY", len(low["all"]))
+    assert set(ngram_join.heavy_tokens(docs)[0].tolist()) == low["all"]
+    assert Counter(run(docs)) == Counter(expected(rows))

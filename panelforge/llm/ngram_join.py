@@ -167,8 +167,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 #: Tokens that a task gathers before it hands them on.
 _GATHERED = 2_000_000
-#: Counts from here on are one when the list of frequent tokens is made to fit.
-_COUNTED = 1_000
+#: Steps of a count for each power of two, when the list of frequent tokens is made to fit.
+_STEPS = 8
 
 
 def heavy_tokens(docs: DataFrame) -> Heavy:
@@ -204,20 +204,30 @@ def heavy_tokens(docs: DataFrame) -> Heavy:
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         low, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in rows["low"]]), return_counts=True)
-        many = n > HEAVY_DOCS
-        return pd.DataFrame({"low": low[many].astype(np.int64), "n": n[many]})
+        low, n = low[n > HEAVY_DOCS], n[n > HEAVY_DOCS]
+        step = np.floor(_STEPS * np.log2(n)).astype(np.int64)
+        packed = [(s, len(at), low[at].tobytes()) for s, at in _by_bucket(step, step.max(initial=0) + 1)]
+        return pd.DataFrame(packed, columns=["step", "k", "low"])
 
     text_batches(spark)
     gathered = docs.select(F.col("text").cast("string")).mapInArrow(gather, "bucket int, low binary")
-    counts = materialize(gathered.groupBy("bucket").applyInPandas(count, "low long, n long"), "shingle-counts")
-    # counts so low that the list has no room for them stay where they are
-    sizes = dict(counts.groupBy(F.least("n", F.lit(_COUNTED)).alias("n")).count().collect())
-    enough = _COUNTED
-    while enough > HEAVY_DOCS + 1 and sum(k for n, k in sizes.items() if n >= enough - 1) <= MOST_HEAVY:
-        enough -= 1
-    most = counts.where(F.col("n") >= enough).orderBy(F.col("n").desc(), "low").limit(MOST_HEAVY).toPandas()
-    most = most.groupby("low", as_index=False)["n"].max()  # sorted
-    return most["low"].to_numpy(np.uint32), np.log2(most["n"].to_numpy(float)).astype(np.uint8)
+    counts = materialize(gathered.groupBy("bucket").applyInPandas(count, "step int, k long, low binary"), "shingle-counts")
+    sizes = dict(counts.groupBy("step").agg(F.sum("k")).collect())
+    least, share, room = 0, 1.0, MOST_HEAVY
+    for step in sorted(sizes, reverse=True):
+        if room <= 0:
+            break
+        least, share = step, min(1.0, room / sizes[step])
+        room -= sizes[step]
+    # packed, as a row for each token would fill the driver; of the last step there may be room for a share
+    some = F.when(F.col("step") > least, F.col("k")).otherwise(F.floor(F.col("k") * share)).cast("int")
+    most = counts.where(F.col("step") >= least).select("step", F.col("low").substr(F.lit(1), 4 * some).alias("low")).collect()
+    low = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(x["low"], np.uint32) for x in most)])
+    power = np.repeat(np.array([x["step"] // _STEPS for x in most], np.uint8), [len(x["low"]) // 4 for x in most])
+    order = np.lexsort((power, low))
+    low, power = low[order], power[order]
+    last = np.append(low[1:] != low[:-1], True)[: len(low)]  # tokens of one low half have the larger count
+    return low[last], power[last]
 
 
 def sketches(docs: DataFrame) -> DataFrame:

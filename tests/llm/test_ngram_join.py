@@ -119,3 +119,24 @@ def test_every_common_token_counts_as_frequent(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "MOST_HEAVY", len(low["all"]))
     assert set(ngram_join.heavy_tokens(docs)[0].tolist()) == low["all"]
     assert Counter(run(docs)) == Counter(expected(rows))
+
+
+def test_frequent_tokens_reach_the_driver_packed(spark, monkeypatch):
+    """A row for each of up to two million tokens took the driver's memory."""
+    rng = random.Random(10)
+    texts = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(2000)) for _ in range(3)]
+    rows = [(k, texts[k % 3]) for k in range(18)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fetched = []
+    for name in ("collect", "toPandas"):
+        plain = getattr(type(docs), name)
+        monkeypatch.setattr(type(docs), name, lambda df, plain=plain: fetched.append(plain(df)) or fetched[-1])
+    tokens = {int(x) & 0xFFFFFFFF for text in texts for x in ngram_join.Shingler().tokens(text)}
+    found, power = ngram_join.heavy_tokens(docs)
+    assert set(found.tolist()) == tokens and set(power.tolist()) == {2}
+    assert sum(map(len, fetched)) < 100
+    # where they do not all fit, there is a list of those that do
+    monkeypatch.setattr(ngram_join, "MOST_HEAVY", 1000)
+    some, power = ngram_join.heavy_tokens(docs)
+    assert 900 < len(some) <= 1000 and set(some.tolist()) <= tokens and len(power) == len(some)
+    assert Counter(run(docs)) == Counter(expected(rows))

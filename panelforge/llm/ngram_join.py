@@ -154,6 +154,7 @@ def _buckets(spark: SparkSession) -> int:
 
 
 def _by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    bucket = bucket.astype(np.min_scalar_type(buckets), copy=False)  # narrow numbers are sorted by radix
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in np.flatnonzero(ends[1:] > ends[:-1]):
@@ -165,12 +166,37 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.col("text").cast("string").alias("text"))
 
 
-#: Tokens that a task gathers before it hands them on.
-_GATHERED = 2_000_000
+#: Tokens that a task gathers before it hands them on. What they take, and the copies made to deal them out,
+#: stays with the Python worker, and with the executor's own buffers for a batch, also while later steps run.
+_GATHERED = 500_000
 #: Steps of a count for each power of two, when the list of frequent tokens is made to fit.
 _STEPS = 8
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """``bucket, low``: low halves of the tokens of texts, dealt by the other half of a hash, so different tokens are hardly counted as one."""
+    shingler, parts, held = Shingler(), [], 0
+
+    def packed() -> pa.RecordBatch:
+        low, bucket = (np.concatenate([part[k] for part in parts]) for k in range(2))
+        rows = [(b, low[at].tobytes()) for b, at in _by_bucket(bucket, buckets)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "low"]
+        )
+
+    narrow = np.min_scalar_type(buckets)
+    for batch in batches:
+        for text in batch.column(0):
+            tokens = shingler.tokens(text.as_py())
+            parts.append((tokens.astype(np.uint32), ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(narrow)))
+            held += len(tokens)
+            if held > _GATHERED:
+                yield packed()
+                parts, held = [], 0
+    if held:
+        yield packed()
+
+
 def heavy_tokens(docs: DataFrame) -> Heavy:
     """The tokens that several documents hold.
 
@@ -180,28 +206,6 @@ def heavy_tokens(docs: DataFrame) -> Heavy:
     spark = docs.sparkSession
     buckets = _buckets(spark)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, parts, held = Shingler(), [], 0
-
-        def packed() -> pa.RecordBatch:
-            tokens = np.concatenate(parts)
-            low = (tokens & _LOW32).astype(np.uint32)
-            # dealt by the other half of a hash, so different tokens are hardly counted as one
-            rows = [(b, low[at].tobytes()) for b, at in _by_bucket((tokens >> np.uint64(32)).astype(np.int64) % buckets, buckets)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "low"]
-            )
-
-        for batch in batches:
-            for text in batch.column(0):
-                parts.append(shingler.tokens(text.as_py()))
-                held += len(parts[-1])
-                if held > _GATHERED:
-                    yield packed()
-                    parts, held = [], 0
-        if held:
-            yield packed()
-
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         low, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in rows["low"]]), return_counts=True)
         low, n = low[n > HEAVY_DOCS], n[n > HEAVY_DOCS]
@@ -210,7 +214,7 @@ def heavy_tokens(docs: DataFrame) -> Heavy:
         return pd.DataFrame(packed, columns=["step", "k", "low"])
 
     text_batches(spark)
-    gathered = docs.select(F.col("text").cast("string")).mapInArrow(gather, "bucket int, low binary")
+    gathered = docs.select(F.col("text").cast("string")).mapInArrow(functools.partial(_gathered, buckets=buckets), "bucket int, low binary")
     counts = materialize(gathered.groupBy("bucket").applyInPandas(count, "step int, k long, low binary"), "shingle-counts")
     sizes = dict(counts.groupBy("step").agg(F.sum("k")).collect())
     least, share, room = 0, 1.0, MOST_HEAVY

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelforge.llm import ngram_join
@@ -140,3 +142,28 @@ def test_frequent_tokens_reach_the_driver_packed(spark, monkeypatch):
     some, power = ngram_join.heavy_tokens(docs)
     assert 900 < len(some) <= 1000 and set(some.tolist()) <= tokens and len(power) == len(some)
     assert Counter(run(docs)) == Counter(expected(rows))
+
+
+def test_gathered_tokens_take_little_of_a_worker():
+    """What a task gathers stays with its worker, so it is handed on in small packs, each token in its bucket."""
+    rng, buckets, texts = np.random.default_rng(7), 40, []
+
+    def batches():
+        for _ in range(50):
+            texts.append(" ".join(map(str, rng.integers(0, 10**6, 50_000))))
+            yield pa.RecordBatch.from_arrays([pa.array(texts[-1:])], names=["text"])
+
+    found, peak = Counter(), 0
+    tracemalloc.start()
+    try:
+        for batch in ngram_join._gathered(batches(), buckets):
+            peak = max(peak, tracemalloc.get_traced_memory()[1] - sum(map(len, texts)))
+            for bucket, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found[bucket] += int(np.frombuffer(low, np.uint32).astype(np.uint64).sum())
+    finally:
+        tracemalloc.stop()
+    tokens = np.concatenate([ngram_join.Shingler().tokens(text) for text in texts])
+    assert len(tokens) > 2_000_000
+    high, low = (tokens >> np.uint64(32)).astype(np.int64) % buckets, tokens & np.uint64(2**32 - 1)
+    assert found == {b: int(low[high == b].sum()) for b in range(buckets)}
+    assert peak < 40e6, peak
